@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_ALNUM, SPACE, as_bytes, list_column, mix, read, slices, span_hash, store, windows, words
 
-MIN_CHARS, MIN_WORDS = 200, 50
+MIN_CHARS, MIN_WORDS = 500, 100
 #: One distance alone this far, or both this far together.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
 MAX_BOTH = (0.135, 0.25)
