@@ -10,10 +10,8 @@ lower case (with fewer words: the whole sequence). Two documents link at a Jacca
    their first n - t + L shingles in the common order share at least L. Each document chooses its own L:
    longer prefixes cost postings, but demand L shared ones, and at most (postings / L) others have as
    many. Of a pair the lower L is demanded.
-3. Postings meet in two rounds. First each meets a few centres of its shingle, chosen by hash; verified
-   links form components. Then all postings of a shingle meet whose classes are still in different
-   components, which is exact: a link inside a component cannot change the components. A large group of
-   near copies is joined by its centres in the first round, and makes no pairs in the second.
+3. Postings meet in the two rounds of `meeting.linked`, which lose no component and make no pairs
+   inside a group that is joined already.
 4. Candidates are verified on the whole texts of both.
 
 Null texts and texts without words have empty sets, link with nothing and stay alone. A null id is no
@@ -30,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, as_bytes, list_column, mix, read, signed, slices, span_hash, store, windows, words
-from .graph import components
+from .common import LOWER, SPACE, list_column, mix, read, signed, slices, span_hash, store, windows, words
+from .meeting import linked
 
 WIDTH, PERCENT = 4, 85
 SKETCH = 1 << 18
 MOST_MATCHES = 8
-CENTRES = 4
 #: Cost of verifying a pair, in postings.
 VERIFY = 8.0
 
@@ -149,41 +146,17 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def _near(small: str, large: str, percent: int):
-    """Sizes that a link allows."""
-    return (F.col(small) * 100 >= F.col(large) * percent) & (F.col(large) * 100 >= F.col(small) * percent)
-
-
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows (rid, n, group) for docs (rid long, text string): the size of the set, and the signature that names the component, null for empty sets."""
     all_rows = store(signatures(docs, width, percent), "jaccard")
     classes = all_rows.filter("sig is not null").groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
     classes = store(classes, "classes")
-    postings = store(classes.select(F.explode("prefix").alias("token"), "sig", "n", "matches"), "postings")
-
-    # Shingles of one posting find nobody.
-    tokens = postings.groupBy("token").agg(F.count("*").alias("df"), *[F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "n", "matches")).alias(f"c{k}") for k in range(CENTRES)]).filter("df > 1")
-    tokens = store(tokens, "tokens")
-    centres = tokens.select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.sig").alias("sig"), F.col(f"c{k}.n").alias("n"), F.col(f"c{k}.matches").alias("matches")) for k in range(CENTRES)]))).alias("c"))
-    met = postings.join(centres, "token").filter(F.col("sig") != F.col("c.sig"))
-    met = met.select(F.greatest("sig", "c.sig").alias("a"), F.least("sig", "c.sig").alias("b"), F.least("matches", "c.matches").alias("need"), F.col("n").alias("x"), F.col("c.n").alias("y"), "sig").filter(_near("x", "y", percent))
-    # A pair of two centres meets twice at a shingle: from either side.
-    met = met.groupBy("a", "b", "sig").agg(F.count("*").alias("k"), F.min("need").alias("need")).groupBy("a", "b").agg(F.max("k").alias("k"), F.min("need").alias("need"))
-    texts_of = lambda pairs: _texts(all_rows, classes, pairs)
-    first = store(met.filter("k >= need").select("a", "b"), "pairs")
-    links = verified(first, texts_of(first), width, percent)
-    found = store(components(links), "components")
-
-    held = postings.join(tokens.select("token"), "token").join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    held = store(held.join(mixed, "token"), "mixed")
-    other = held.select("token", *[F.col(c).alias(f"{c}_") for c in ("sig", "n", "matches", "component")])
-    pairs = held.join(other, "token").filter((F.col("sig") > F.col("sig_")) & (F.col("component") != F.col("component_")) & _near("n", "n_", percent))
-    pairs = pairs.groupBy(F.col("sig").alias("a"), F.col("sig_").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("matches", "matches_")).alias("need")).filter("k >= need").select("a", "b")
-    second = store(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, texts_of(second), width, percent)
-
-    final = components(links.unionByName(more)).withColumnsRenamed({"node": "sig", "component": "group"})
+    postings = store(classes.select(F.explode("prefix").alias("token"), F.col("sig").alias("id"), F.col("n").alias("size"), "matches"), "postings")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, _texts(all_rows, classes, pairs), width, percent)
+
+    final = linked(postings, verify, percent).withColumnsRenamed({"node": "sig", "component": "group"})
     return all_rows.select("rid", "sig", "n").join(final, "sig", "left").select("rid", "n", F.coalesce("group", "sig").alias("group"))
 
 
