@@ -150,10 +150,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, width: int = WIDTH) -> DataFrame:
-    """`docs` without the documents in which windows of at least `min_items` items occur."""
-    names = docs.columns
-    inner = docs.select(F.struct(*[docs[n] for n in names]).alias("_row"), F.col("text").cast("string").alias("text"))
-    return scan(inner, benchmark, width).filter(F.size("items") < min_items).select("_row.*")
+    """`docs` without the documents in which windows of at least `min_items` items occur, or a hit span of `width` words or more.
+
+    One full window is a leaked passage; one item of fewer words may well be chance.
+    """
+    inner = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    long_span = F.exists(F.sequence(F.lit(1), F.expr("size(spans) div 2")), lambda i: F.element_at("spans", (2 * i).cast("int")) - F.element_at("spans", (2 * i - 1).cast("int")) >= width)
+    leaked = (F.size("items") >= min_items) | F.when(F.size("spans") > 0, long_span).otherwise(False)
+    return scan(inner, benchmark, width).filter(~leaked).select("_row.*")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
