@@ -2,7 +2,7 @@
 
 A document's set holds the hashes of its distinct shingles of `width` words `[^\\x20\\x09-\\x0D]+`, A-Z in
 lower case (with fewer words: the whole sequence). Two documents link at a Jaccard similarity of
-`percent` hundredths or more. Equal sets are one class; the join works on classes.
+`percent` hundredths or more. Equal sets are one class, of equal signatures; the join works on classes.
 
 1. All documents are counted into a sketch of fixed size, which orders shingles from rare to common.
    The order decides only the cost: any order gives the same links.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,12 +88,16 @@ def prefix(counts: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """`docs` (rid long, text string) with sig (of the set; null if empty), n, matches and prefix."""
+    """`docs` (rid long, text string) with uid (of the row), sig (of the set; null if empty), n, matches and prefix.
+
+    Row ids come from the task and its order of rows: the result must be stored before it is used twice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.log2(1 + count_sketch(docs, width)).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         noise = 2 ** float(np.median(logs))
+        uid = TaskContext.get().partitionId() << 33
         for batch, data, at in slices(batches):
             found, first = shingle_sets(data, at, width)
             count = np.diff(first)
@@ -115,13 +120,14 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 else:
                     place.append(place[-1])
             flat = np.concatenate(cuts) if cuts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("text"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64())], ["rid", "text", "sig", "n", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(count))), batch.column("rid"), batch.column("text"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64())], ["uid", "rid", "text", "sig", "n", "matches", "prefix"])
+            uid += len(count)
 
-    return docs.mapInArrow(run, "rid long, text string, sig binary, n long, matches int, prefix array<bigint>")
+    return docs.mapInArrow(run, "uid long, rid long, text string, sig binary, n long, matches int, prefix array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose texts link. texts: (sig, text), one row each."""
+    """The pairs (a, b) of ids whose texts link. texts: (id, text), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,37 +140,34 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     # Few pairs to a batch: both of their texts are held.
     spark = pairs.sparkSession
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
     try:
-        return store(with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"), "links")
+        return store(with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Rows (rid, n, group) for docs (rid long, text string): the size of the set, and the signature that names the component, null for empty sets."""
-    all_rows = store(signatures(docs, width, percent), "jaccard")
-    classes = all_rows.filter("sig is not null").groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    """Rows (rid, n, group) for docs (rid long, text string): the size of the set and a number of the component, null for empty sets."""
+    rows = store(signatures(docs, width, percent), "jaccard")
+    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix")])
     classes = store(classes, "classes")
-    postings = store(classes.select(F.explode("prefix").alias("token"), F.col("sig").alias("id"), F.col("n").alias("size"), "matches"), "postings")
+    postings = classes.select(F.explode("prefix").alias("token"), "id", F.col("n").cast("int").alias("size"), "matches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, _texts(all_rows, classes, pairs), width, percent)
-
-    final = linked(postings, verify, percent).withColumnsRenamed({"node": "sig", "component": "group"})
-    return all_rows.select("rid", "sig", "n").join(final, "sig", "left").select("rid", "n", F.coalesce("group", "sig").alias("group"))
-
-
-def _texts(all_rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sig, text) of the classes in the pairs: the text of the row with the class's least id. Keyed by row, so that no class of many copies meets in one task."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    chosen = classes.select("sig", "rid").join(wanted, "sig", "left_semi")
-    return store(all_rows.select("sig", "rid", "text").join(chosen, ["sig", "rid"]).dropDuplicates(["sig", "rid"]).select("sig", "text"), "texts")
+        # An id is a row's, so that no class of many copies meets in one task.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = store(rows.select(F.col("uid").alias("id"), "text").join(wanted, "id"), "texts")
+        return verified(pairs, texts, width, percent)
+
+    final = linked(postings, verify, percent).withColumnsRenamed({"node": "id", "component": "group"})
+    groups = classes.select("sig", "id").join(final, "id", "left").select("sig", F.coalesce("group", "id").alias("group"))
+    return rows.select("rid", "sig", "n").join(groups, "sig", "left").select("rid", "n", "group")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Links between the members of shared buckets, without all pairs of a bucket.
 
-Postings (token, id, size, matches) meet in two rounds. First each meets a few centres of its token,
+Postings (token, id, size, matches), ids long, meet in two rounds. First each meets a few centres of its token,
 chosen by hash, so that pairs grow with the postings; verified links form components. Then all postings
 of a token meet whose ids are still in different components. That is exact for components: a link inside
 one cannot change them. A large group of near copies is joined by its centres in the first round and
@@ -27,12 +27,13 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
     def near(small: str, large: str) -> Column:
         return (F.col(small) * 100 >= F.col(large) * percent) & (F.col(large) * 100 >= F.col(small) * percent)
 
+    # Tokens of one posting find nobody, and are most: counted alone, before anything else moves.
+    shared = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    live = store(postings.join(shared, "token"), "postings")
     parts = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "matches")).alias(f"c{k}") for k in range(CENTRES)]
-    # Tokens of one posting find nobody.
-    tokens = store(postings.groupBy("token").agg(F.count("*").alias("df"), *parts).filter("df > 1"), "tokens")
     centre = [F.struct(F.col(f"c{k}.id").alias("id"), F.col(f"c{k}.size").alias("size"), F.col(f"c{k}.matches").alias("matches")) for k in range(CENTRES)]
-    centres = tokens.select("token", F.explode(F.array_distinct(F.array(*centre))).alias("c"))
-    met = postings.join(centres, "token").filter(F.col("id") != F.col("c.id")).withColumns({"x": F.col("size"), "y": F.col("c.size")}).filter(near("x", "y"))
+    centres = live.groupBy("token").agg(*parts).select("token", F.explode(F.array_distinct(F.array(*centre))).alias("c"))
+    met = live.join(centres, "token").filter(F.col("id") != F.col("c.id")).withColumns({"x": F.col("size"), "y": F.col("c.size")}).filter(near("x", "y"))
     met = met.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"), F.least("matches", "c.matches").alias("need"), "id")
     # Two centres meet twice at a token, from either side.
     met = met.groupBy("a", "b", "id").agg(F.count("*").alias("k"), F.min("need").alias("need")).groupBy("a", "b").agg(F.max("k").alias("k"), F.min("need").alias("need"))
@@ -40,7 +41,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
     links = verify(first)
     found = store(components(links), "components")
 
-    held = postings.join(tokens.select("token"), "token").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = live.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     held = store(held.join(mixed, "token"), "mixed")
     other = held.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "size", "matches", "component")])
