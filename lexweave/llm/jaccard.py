@@ -9,7 +9,8 @@ lower case (with fewer words: the whole sequence). Two documents link at a Jacca
 2. A set of n shingles linked to another shares at least t = ceil(percent * n / 100) of its own, so that
    their first n - t + L shingles in the common order share at least L. Each document chooses its own L:
    longer prefixes cost postings, but demand L shared ones, and at most (postings / L) others have as
-   many. Of a pair the lower L is demanded.
+   many. Of a pair the lower L is demanded. The smaller set of a pair needs only its first
+   n - ceil(2 * percent * n / (100 + percent)) + L shingles.
 3. Postings meet in the two rounds of `meeting.linked`, which lose no component and make no pairs
    inside a group that is joined already.
 4. Candidates are verified on the whole texts of both.
@@ -157,7 +158,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     rows = store(signatures(docs, width, percent), "jaccard")
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix")])
     classes = store(classes, "classes")
-    postings = classes.select(F.explode("prefix").alias("token"), "id", F.col("n").cast("int").alias("size"), "matches")
+    indexed = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9) + F.col("matches")
+    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "matches").select("token", "id", F.col("n").cast("int").alias("size"), "matches", indexed.alias("indexed"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         # An id is a row's, so that no class of many copies meets in one task.
@@ -165,7 +167,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         texts = store(rows.select(F.col("uid").alias("id"), "text").join(wanted, "id"), "texts")
         return verified(pairs, texts, width, percent)
 
-    final = linked(postings, verify, percent).withColumnsRenamed({"node": "id", "component": "group"})
+    final = linked(postings, verify, percent, ordered=True).withColumnsRenamed({"node": "id", "component": "group"})
     groups = classes.select("sig", "id").join(final, "id", "left").select("sig", F.coalesce("group", "id").alias("group"))
     return rows.select("rid", "sig", "n").join(groups, "sig", "left").select("rid", "n", "group")
 

@@ -1,11 +1,14 @@
 """Links between the members of shared buckets, without all pairs of a bucket.
 
-Postings (token, id, size, matches), ids long, meet in two rounds. First each meets a few centres of its token,
+Postings (token, id, size, matches, indexed), ids long, meet in two rounds. First each meets a few centres of its token,
 chosen by hash, so that pairs grow with the postings; verified links form components. Then all postings
 of a token meet whose ids are still in different components. That is exact for components: a link inside
 one cannot change them. A large group of near copies is joined by its centres in the first round and
-makes no pairs in the second. A pair is verified if it shares as many tokens as the lower of its two
-`matches`, and if its sizes are close enough.
+makes no pairs in the second.
+
+Of a pair the smaller set (then the lower id) must hold the token among its indexed ones. A pair is
+verified if it shares as many tokens as the lower of its two `matches`, if its sizes are close enough,
+and, where tokens are prefixes of ordered sets, if the tokens left can still make up the overlap.
 """
 
 from __future__ import annotations
@@ -21,31 +24,50 @@ from .graph import components
 CENTRES = 4
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Rows (node, component) of all ids that link. verify: pairs (a, b), a > b, to those that link."""
+def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool) -> DataFrame:
+    """Rows (node, component) of all ids that link. verify: pairs (a, b) to those that link.
+
+    ordered: tokens are Jaccard prefixes, of ceil(percent * size / 100) - matches tokens less than the
+    set, and the indexed ones of ceil(2 * percent * size / (100 + percent)) - matches less.
+    """
+
+    def before(x: str, y: str) -> Column:
+        return F.struct(F.col(f"{x}.size"), F.col(f"{x}.id")) < F.struct(F.col(f"{y}.size"), F.col(f"{y}.id"))
 
-    def near(small: str, large: str) -> Column:
-        return (F.col(small) * 100 >= F.col(large) * percent) & (F.col(large) * 100 >= F.col(small) * percent)
+    def meet(left: DataFrame, right: DataFrame, both_ways: bool, apart: bool) -> DataFrame:
+        """(a, b, k, need): a before b, with the number of tokens at which they met and that demanded."""
+        met = left.alias("a").join(right.alias("b"), F.col("a.token") == F.col("b.token"))
+        side = lambda c, d: [F.col(f"{c}.{x}").alias(f"{d}_{x}") for x in ("id", "size", "matches")]
+        close = F.col("a.size") * 100 >= F.col("b.size") * percent
+        if apart:
+            close &= F.col("a.component") != F.col("b.component")
+        rows = met.filter(before("a", "b") & F.col("a.indexed") & close).select(*side("a", "a"), *side("b", "b"))
+        if both_ways:
+            swapped = met.filter(before("b", "a") & F.col("b.indexed") & (F.col("b.size") * 100 >= F.col("a.size") * percent)).select(*side("b", "a"), *side("a", "b"))
+            rows = rows.withColumn("way", F.lit(0)).unionByName(swapped.withColumn("way", F.lit(1)))
+        keys = [c for c in rows.columns if c != "way"]
+        counted = rows.groupBy(rows.columns).agg(F.count("*").alias("k"))
+        counted = counted.groupBy(keys).agg(F.max("k").alias("k")) if both_ways else counted
+        need = F.least("a_matches", "b_matches")
+        if ordered and not both_ways:
+            overlap = F.ceil(F.lit(percent) * (F.col("a_size") + F.col("b_size")) / (100 + percent) - 1e-9)
+            left_a = F.ceil(F.lit(2 * percent) * F.col("a_size") / (100 + percent) - 1e-9) - F.col("a_matches")
+            left_b = F.ceil(F.lit(percent) * F.col("b_size") / 100 - 1e-9) - F.col("b_matches")
+            need = F.greatest(need, overlap - F.greatest(left_a, left_b))
+        return counted.filter(F.col("k") >= need).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
     # Tokens of one posting find nobody, and are most: counted alone, before anything else moves.
-    shared = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("any")).filter("df > 1 and any").select("token")
     live = store(postings.join(shared, "token"), "postings")
-    parts = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "matches")).alias(f"c{k}") for k in range(CENTRES)]
-    centre = [F.struct(F.col(f"c{k}.id").alias("id"), F.col(f"c{k}.size").alias("size"), F.col(f"c{k}.matches").alias("matches")) for k in range(CENTRES)]
-    centres = live.groupBy("token").agg(*parts).select("token", F.explode(F.array_distinct(F.array(*centre))).alias("c"))
-    met = live.join(centres, "token").filter(F.col("id") != F.col("c.id")).withColumns({"x": F.col("size"), "y": F.col("c.size")}).filter(near("x", "y"))
-    met = met.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"), F.least("matches", "c.matches").alias("need"), "id")
-    # Two centres meet twice at a token, from either side.
-    met = met.groupBy("a", "b", "id").agg(F.count("*").alias("k"), F.min("need").alias("need")).groupBy("a", "b").agg(F.max("k").alias("k"), F.min("need").alias("need"))
-    first = store(met.filter("k >= need").select("a", "b"), "pairs")
+    parts = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "matches", "indexed")).alias(f"c{k}") for k in range(CENTRES)]
+    centre = [F.struct(*[F.col(f"c{k}.{x}").alias(x) for x in ("id", "size", "matches", "indexed")]) for k in range(CENTRES)]
+    centres = live.groupBy("token").agg(*parts).select("token", F.explode(F.array_distinct(F.array(*centre))).alias("c")).select("token", "c.*")
+    first = store(meet(live, centres, True, False), "pairs")
     links = verify(first)
     found = store(components(links), "components")
 
     held = live.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     held = store(held.join(mixed, "token"), "mixed")
-    other = held.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "size", "matches", "component")])
-    pairs = held.join(other, "token").filter((F.col("id") > F.col("id_")) & (F.col("component") != F.col("component_")) & near("size", "size_"))
-    pairs = pairs.groupBy(F.col("id").alias("a"), F.col("id_").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("matches", "matches_")).alias("need")).filter("k >= need").select("a", "b")
-    second = store(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = store(meet(held, held, False, True).join(first, ["a", "b"], "left_anti"), "pairs")
     return components(links.unionByName(verify(second)))
