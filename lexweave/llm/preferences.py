@@ -62,7 +62,10 @@ def _spans(turns: Column) -> Column:
 def format_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """`pairs` (chosen_id, rejected_id) with n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans."""
     side = lambda name: found.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(f"_{name}"))
-    both = pairs.join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id", "left")
+    with_chosen = pairs.join(side("chosen"), "chosen_id")
+    # Pairs without a rejected side stay out of the join: null keys would all meet in one task.
+    alone = with_chosen.filter("rejected_id is null").withColumn("_rejected", F.lit(None).cast(found.schema["turns"].dataType))
+    both = with_chosen.filter("rejected_id is not null").join(side("rejected"), "rejected_id", "left").unionByName(alone)
     same = F.zip_with("_chosen", "_rejected", lambda a, b: a.isNotNull() & b.isNotNull() & a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
     apart = F.array_position(same, False)
     common = F.when(F.col("_rejected").isNull(), F.size("_chosen") - 1).when(apart > 0, apart - 1).otherwise(F.size("_chosen")).cast("int")
