@@ -46,6 +46,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_in_small_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """`store`, with at most `rows` rows in an Arrow batch, for rows that hold several texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return store(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is an empty text."""
     if column.null_count:

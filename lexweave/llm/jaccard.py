@@ -12,7 +12,9 @@ lower case (with fewer words: the whole sequence). Two documents link at a Jacca
    many. Of a pair the lower L is demanded. The smaller set of a pair needs only its first
    n - ceil(2 * percent * n / (100 + percent)) + L shingles.
 3. Postings meet in the two rounds of `meeting.linked`, which lose no component and make no pairs
-   inside a group that is joined already.
+   inside a group that is joined already. Each set has a bitmap: every shingle flips one of its bits. Two
+   bitmaps differ in at most as many bits as the sets do in shingles, so that no link is lost where pairs
+   with more are dropped.
 4. Candidates are verified on the whole texts of both.
 
 Null texts and texts without words have empty sets, link with nothing and stay alone. A null id is no
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, list_column, mix, read, signed, slices, span_hash, store, windows, words
+from .common import LOWER, SPACE, list_column, mix, read, signed, slices, span_hash, store, store_in_small_batches, windows, words
 from .meeting import linked
 
 WIDTH, PERCENT = 4, 85
@@ -38,6 +40,9 @@ SKETCH = 1 << 18
 MOST_MATCHES = 8
 #: Cost of verifying a pair, in postings.
 VERIFY = 8.0
+#: Longs of a set's bitmap.
+BITMAP = 4
+BITS = [f"bits{k}" for k in range(BITMAP)]
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +94,7 @@ def prefix(counts: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """`docs` (rid long, text string) with uid (of the row), sig (of the set; null if empty), n, matches and prefix.
+    """`docs` (rid long, text string) with uid (of the row), sig (of the set; null if empty), n, matches, prefix and bitmap.
 
     Row ids come from the task and its order of rows: the result must be stored before it is used twice.
     """
@@ -121,10 +126,17 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 else:
                     place.append(place[-1])
             flat = np.concatenate(cuts) if cuts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(count))), batch.column("rid"), batch.column("text"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64())], ["uid", "rid", "text", "sig", "n", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(count))), batch.column("rid"), batch.column("text"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64()), *[pa.array(x) for x in bitmaps(found, row, len(count)).T]], ["uid", "rid", "text", "sig", "n", "matches", "prefix", *BITS])
             uid += len(count)
 
-    return docs.mapInArrow(run, "uid long, rid long, text string, sig binary, n long, matches int, prefix array<bigint>")
+    return docs.mapInArrow(run, "uid long, rid long, text string, sig binary, n long, matches int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in BITS))
+
+
+def bitmaps(found: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """n rows of BITMAP longs: the parity of the shingles of each bit."""
+    bit = (mix(found) >> np.uint64(32)).astype(np.int64) % (64 * BITMAP)
+    odd = np.bincount(row * (64 * BITMAP) + bit, minlength=n * 64 * BITMAP).reshape(n, 64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -143,20 +155,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    # Few pairs to a batch: both of their texts are held.
-    spark = pairs.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    try:
-        return store(with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    return store_in_small_batches(with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links", 200)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows (rid, n, group) for docs (rid long, text string): the size of the set and a number of the component, null for empty sets."""
     rows = store(signatures(docs, width, percent), "jaccard")
-    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix")])
+    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix", *BITS)])
     classes = store(classes, "classes")
     indexed = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9) + F.col("matches")
     postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "matches").select("token", "id", F.col("n").cast("int").alias("size"), "matches", indexed.alias("indexed"))
@@ -167,7 +172,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         texts = store(rows.select(F.col("uid").alias("id"), "text").join(wanted, "id"), "texts")
         return verified(pairs, texts, width, percent)
 
-    final = linked(postings, verify, percent, ordered=True).withColumnsRenamed({"node": "id", "component": "group"})
+    most = lambda x, y: F.lit(100 - percent) * (x + y) / (100 + percent) + 1e-9
+    final = linked(postings, classes.select("id", *BITS), verify, percent, True, most).withColumnsRenamed({"node": "id", "component": "group"})
     groups = classes.select("sig", "id").join(final, "id", "left").select("sig", F.coalesce("group", "id").alias("group"))
     return rows.select("rid", "sig", "n").join(groups, "sig", "left").select("rid", "n", "group")
 

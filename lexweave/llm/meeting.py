@@ -1,14 +1,16 @@
 """Links between the members of shared buckets, without all pairs of a bucket.
 
-Postings (token, id, size, matches, indexed), ids long, meet in two rounds. First each meets a few centres of its token,
-chosen by hash, so that pairs grow with the postings; verified links form components. Then all postings
+Postings (token, id, size, matches, indexed), ids long, meet in two rounds. In the first each meets a few
+centres of its tokens, chosen by hash, and keeps two of them: the one with the most tokens in common, and
+the one first by hash, so that pairs grow with the ids; verified links form components. Then all postings
 of a token meet whose ids are still in different components. That is exact for components: a link inside
 one cannot change them. A large group of near copies is joined by its centres in the first round and
-makes no pairs in the second.
+makes few pairs in the second.
 
 Of a pair the smaller set (then the lower id) must hold the token among its indexed ones. A pair is
-verified if it shares as many tokens as the lower of its two `matches`, if its sizes are close enough,
-and, where tokens are prefixes of ordered sets, if the tokens left can still make up the overlap.
+verified if it shares as many tokens as the lower of its two `matches`, if its sizes are close enough, if
+the bitmaps of its ids differ in few enough bits, and, where tokens are prefixes of ordered sets, if the
+tokens left can still make up the overlap. The sizes and bitmaps are compared where the postings meet.
 """
 
 from __future__ import annotations
@@ -24,50 +26,63 @@ from .graph import components
 CENTRES = 4
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool) -> DataFrame:
+def bits_apart(left: list[Column], right: list[Column]) -> Column:
+    """The number of bits in which two bitmaps of longs differ."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left, right, strict=True)), F.lit(0))
+
+
+def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool, most_apart: Callable[[Column, Column], Column]) -> DataFrame:
     """Rows (node, component) of all ids that link. verify: pairs (a, b) to those that link.
 
+    bitmaps: id and the longs of its bitmap. most_apart: of the two sizes, in how many bits linked ids may differ.
     ordered: tokens are Jaccard prefixes, of ceil(percent * size / 100) - matches tokens less than the
     set, and the indexed ones of ceil(2 * percent * size / (100 + percent)) - matches less.
     """
+    bits = [c for c in bitmaps.columns if c != "id"]
+    held_columns = ["id", "size", "matches", *bits]
+
+    def near(x: str, y: str) -> Column:
+        size = [F.col(f"{c}.size") for c in (x, y)]
+        few = bits_apart([F.col(f"{x}.{b}") for b in bits], [F.col(f"{y}.{b}") for b in bits]) <= most_apart(*size)
+        return (F.least(*size) * 100 >= F.greatest(*size) * percent) & few
+
+    def picks(live: DataFrame, centres: DataFrame) -> DataFrame:
+        """(a, b): each id with at most two centres."""
+        met = live.alias("a").join(centres.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & near("a", "b"))
+        counted = met.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("centre")).agg(F.count("*").alias("k"), F.first(F.least("a.matches", "b.matches")).alias("need")).filter("k >= need")
+        order = F.xxhash64("centre")
+        two = counted.groupBy("id").agg(F.max_by("centre", F.shiftleft("k", 44) + F.shiftrightunsigned(order, 20)).alias("best"), F.min_by("centre", order).alias("common"))
+        both = two.select("id", F.explode(F.array("best", "common")).alias("centre"))
+        return both.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
-    def before(x: str, y: str) -> Column:
-        return F.struct(F.col(f"{x}.size"), F.col(f"{x}.id")) < F.struct(F.col(f"{y}.size"), F.col(f"{y}.id"))
-
-    def meet(left: DataFrame, right: DataFrame, both_ways: bool, apart: bool) -> DataFrame:
-        """(a, b, k, need): a before b, with the number of tokens at which they met and that demanded."""
-        met = left.alias("a").join(right.alias("b"), F.col("a.token") == F.col("b.token"))
-        side = lambda c, d: [F.col(f"{c}.{x}").alias(f"{d}_{x}") for x in ("id", "size", "matches")]
-        close = F.col("a.size") * 100 >= F.col("b.size") * percent
-        if apart:
-            close &= F.col("a.component") != F.col("b.component")
-        rows = met.filter(before("a", "b") & F.col("a.indexed") & close).select(*side("a", "a"), *side("b", "b"))
-        if both_ways:
-            swapped = met.filter(before("b", "a") & F.col("b.indexed") & (F.col("b.size") * 100 >= F.col("a.size") * percent)).select(*side("b", "a"), *side("a", "b"))
-            rows = rows.withColumn("way", F.lit(0)).unionByName(swapped.withColumn("way", F.lit(1)))
-        keys = [c for c in rows.columns if c != "way"]
+    def all_apart(held: DataFrame) -> DataFrame:
+        """(a, b): all ids of different components that meet in as many tokens as is demanded."""
+        before = F.struct("a.size", "a.id") < F.struct("b.size", "b.id")
+        met = held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & before & F.col("a.indexed") & (F.col("a.component") != F.col("b.component")) & near("a", "b"))
+        rows = met.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("a", "b") for x in ("id", "size", "matches")])
         counted = rows.groupBy(rows.columns).agg(F.count("*").alias("k"))
-        counted = counted.groupBy(keys).agg(F.max("k").alias("k")) if both_ways else counted
         need = F.least("a_matches", "b_matches")
-        if ordered and not both_ways:
+        if ordered:
             overlap = F.ceil(F.lit(percent) * (F.col("a_size") + F.col("b_size")) / (100 + percent) - 1e-9)
             left_a = F.ceil(F.lit(2 * percent) * F.col("a_size") / (100 + percent) - 1e-9) - F.col("a_matches")
             left_b = F.ceil(F.lit(percent) * F.col("b_size") / 100 - 1e-9) - F.col("b_matches")
             need = F.greatest(need, overlap - F.greatest(left_a, left_b))
-        return counted.filter(F.col("k") >= need).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        pairs = counted.filter(F.col("k") >= need)
+        return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
-    # Tokens of one posting find nobody, and are most: counted alone, before anything else moves.
+    # Tokens of one posting find nobody, and are most: counted alone, before anything else moves. Tables of
+    # tokens grow with the data: joined by a shuffle at every size.
     shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("any")).filter("df > 1 and any").select("token")
-    live = store(postings.join(shared, "token"), "postings")
-    parts = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "matches", "indexed")).alias(f"c{k}") for k in range(CENTRES)]
-    centre = [F.struct(*[F.col(f"c{k}.{x}").alias(x) for x in ("id", "size", "matches", "indexed")]) for k in range(CENTRES)]
-    centres = live.groupBy("token").agg(*parts).select("token", F.explode(F.array_distinct(F.array(*centre))).alias("c")).select("token", "c.*")
-    first = store(meet(live, centres, True, False), "pairs")
+    live = store(postings.join(shared.hint("merge"), "token"), "postings")
+    live = store(live.join(bitmaps, "id"), "postings")
+    centre = lambda k: F.min_by(F.struct(*held_columns), F.xxhash64("id", F.lit(k)))
+    centres = live.groupBy("token").agg(F.array_distinct(F.array(*[centre(k) for k in range(CENTRES)])).alias("c")).select("token", F.explode("c").alias("c")).select("token", "c.*")
+    first = store(picks(live, centres), "pairs")
     links = verify(first)
     found = store(components(links), "components")
 
     held = live.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    held = store(held.join(mixed, "token"), "mixed")
-    second = store(meet(held, held, False, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    held = store(held.join(mixed.hint("merge"), "token"), "mixed")
+    second = store(all_apart(held).join(first, ["a", "b"], "left_anti"), "pairs")
     return components(links.unionByName(verify(second)))
