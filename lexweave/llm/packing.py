@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ class Chunks:
     distinct one goes to the tokenizer once.
     """
 
+    _held: dict[str, "Chunks"] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -54,6 +57,13 @@ class Chunks:
         self.tokenizer.encode_special_tokens = True
         self.forget()
 
+    @classmethod
+    def of(cls, path: str) -> "Chunks":
+        """The one of this process: a Python worker runs many tasks, and remembers what they have in common."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
+
     def forget(self) -> None:
         self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -79,9 +89,9 @@ class Chunks:
             lists = [g.ids for g in got]
             count = np.array([len(x) for x in lists], np.int64)
             begin = len(self.ids) + np.concatenate(([0], np.cumsum(count)[:-1]))
-            self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))])
             keys = np.concatenate([self.keys, own[new]])
-            order = np.argsort(keys)
+            order = np.argsort(keys, kind="stable")  # two runs that are in order
             self.keys, self.begin, self.count = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
             place = np.searchsorted(self.keys, own)
         place = place[which]
@@ -111,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     """Rows of _PIECE (and `ids`) for docs (doc_id long, text string). rank: among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, seen = Chunks(tokenizer), np.zeros(capacity + 1, np.int64)
+        chunks, seen = Chunks.of(tokenizer), np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch, data, at in slices(batches):
             ids, offsets = chunks.encode(data, at)
