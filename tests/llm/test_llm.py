@@ -281,3 +281,31 @@ def test_pipeline_stages_keep_columns(spark, docs):
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+
+
+def test_bit_parallel_edit_distance_by_brute_force():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(800):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(14))) for _ in range(2))
+        d = distance(a, b)
+        assert all(lines.edits(a, b, most) == (d <= most) for most in (0, 1, 2, 4, d, max(0, d - 1)))
+
+
+def test_set_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [rng.choice(pool, k, replace=False) for k in (1, 5, 90, 100, 300, 400)]
+    rows = jaccard.bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets) + 1)
+    assert not rows[-1].any()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert sum(int(x).bit_count() for x in (rows[i] ^ rows[j]).view(np.uint64)) <= len(set(a.tolist()) ^ set(b.tolist()))
