@@ -15,8 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Null items for a zero vector."""
-    return F.transform(a, lambda x: F.try_divide(x, norm(a)))
+    """a by its norm, which is computed once a vector; null items for a zero vector."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.try_divide(x, n))), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

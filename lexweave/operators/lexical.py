@@ -172,8 +172,9 @@ def sgns_by_language(encoded: DataFrame, vocab: DataFrame, dim: int = 16, epochs
 
 
 def transfer(own: DataFrame, other: DataFrame) -> DataFrame:
-    """(word, v, matched): `own` vectors (word, v), replaced by those of `other` where it has the word."""
-    return own.join(other.select("word", F.col("v").alias("o")), "word", "left").select("word", F.coalesce("o", "v").alias("v"), F.col("o").isNotNull().alias("matched"))
+    """`own` vectors (word, v, more), replaced by those of `other` (word, v) where it has the word, and `matched`."""
+    both = own.join(other.select("word", F.col("v").alias("_o")), "word", "left")
+    return both.withColumns({"v": F.coalesce("_o", "v"), "matched": F.col("_o").isNotNull()}).drop("_o")
 
 
 def combine(u: str, v: str):
