@@ -11,6 +11,7 @@ from .decontaminate import op5_decontaminate
 from .html_text import op1_html_text
 from .jaccard import op7_jaccard_join
 from .lines import op3_line_dedup
+from .oracles import DECONTAMINATE, JACCARD
 from .packing import op2_packing
 from .preferences import ORACLE as PREFERENCES
 from .preferences import op4_preferences
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op4_preferences": PREFERENCES}
+ORACLES: dict[str, str] = {"op4_preferences": PREFERENCES, "op5_decontaminate": DECONTAMINATE, "op7_jaccard_join": JACCARD}
