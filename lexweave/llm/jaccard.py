@@ -168,7 +168,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     def verify(pairs: DataFrame) -> DataFrame:
         # An id is a row's, so that no class of many copies meets in one task.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # Stored, so that its size is known before the join: while it is small, no other text moves.
+        wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         texts = store(rows.select(F.col("uid").alias("id"), "text").join(wanted, "id"), "texts")
         return verified(pairs, texts, width, percent)
 
