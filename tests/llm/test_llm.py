@@ -161,6 +161,30 @@ def test_lines_keep_one_of_each_group(spark, odd):
     assert lines.dedup(odd.limit(0)).count() == 0
 
 
+def _edited_lines(rng, sizes, change):
+    """Rows of one line each: for every size a line of random words, and the same after change(words)."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    out = []
+    for n in sizes:
+        one = [word() for _ in range(n)]
+        out += [one, change(list(one), word)]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def _left(spark, rows):
+    return {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_lines_with_several_edits_meet(spark):
+    def change(w, word):
+        for k in range(max(1, len(w) // 7)):
+            w[7 * k + 2] = word()
+        return w
+
+    rows = _edited_lines(random.Random(7), [6, 7, 10, 14, 21, 28] * 10, change)
+    assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
+
+
 def test_preferences_match_sql_and_odd_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", None), (3, 0, None, "solo"), (None, 0, "user", "lost"), (4, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "é")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
