@@ -185,6 +185,11 @@ def test_lines_with_several_edits_meet(spark):
     assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
 
 
+def test_lines_on_both_sides_of_32_words_meet(spark):
+    rows = _edited_lines(random.Random(8), [31] * 20, lambda w, word: [*w[:9], word(), *w[9:]])
+    assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
+
+
 def test_preferences_match_sql_and_odd_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", None), (3, 0, None, "solo"), (None, 0, "user", "lost"), (4, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "é")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
