@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.files import store
 
 
 def top_neighbours(queries: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
@@ -103,19 +104,26 @@ def context_pairs(encoded: DataFrame, window: int) -> DataFrame:
     return rows.select("p.wid", F.explode("p.c").alias("cid")).groupBy("wid", "cid").agg(F.count("*").alias("n"))
 
 
-def train_sgns(docs: list[np.ndarray], counts: np.ndarray, dim: int = 50, window: int = 5, negatives: int = 5, rate: float = 0.05, epochs: int = 1, exponent: float = 0.75, drop: np.ndarray | None = None, l2: float = 0.0, normalise: str = "", seed: int = 1, targets: list[np.ndarray] | None = None, target_counts: np.ndarray | None = None, parts: list[tuple[np.ndarray, np.ndarray]] | None = None, callback: Callable[[int, float], None] | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+#: Tokens of a training task.
+SHARD_TOKENS = 250_000
+
+
+def train_sgns(docs: list[np.ndarray], counts: np.ndarray, dim: int = 50, window: int = 5, negatives: int = 5, rate: float = 0.05, epochs: int = 1, exponent: float = 0.75, drop: np.ndarray | None = None, l2: float = 0.0, normalise: str = "", seed: int = 1, targets: list[np.ndarray] | None = None, target_counts: np.ndarray | None = None, parts: list[tuple[np.ndarray, np.ndarray]] | None = None, start: tuple[np.ndarray, np.ndarray] | None = None, span: tuple[float, float] = (0.0, 1.0), callback: Callable[[int, float], None] | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Skip-gram with negative samples: (U, V, mean loss of each epoch).
 
     With `targets`, each document is a source sentence, whose words take contexts from the target
     sentence around their own relative place. With `parts`, a centre is the weighted sum of the rows of
-    its subwords: (rows, weights) of each word. `normalise`: "document", "epoch" or "end".
+    its subwords: (rows, weights) of each word. `normalise`: "document", "epoch" or "end". `start`: U and V
+    to go on with; `span`: the part of the rate's decay that this call makes.
     """
     rng = np.random.default_rng(seed)
     other = counts if target_counts is None else target_counts
     rows = max([len(counts), *[int(p[0].max()) + 1 for p in parts or [] if len(p[0])]])
     u, v = (rng.normal(0, 1, (n, dim)) / np.sqrt(dim) for n in (rows, len(other)))
+    if start is not None:
+        u, v = (np.array(m, float) for m in start)
     cdf = np.cumsum(other.astype(float) ** exponent)
-    total, lr, losses = sum(map(len, docs)) * epochs, rate, []
+    total, lr, losses = sum(map(len, docs)) * epochs, rate * (1 - span[0]), []
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     for epoch in range(epochs):
         loss = seen = 0.0
@@ -144,7 +152,7 @@ def train_sgns(docs: list[np.ndarray], counts: np.ndarray, dim: int = 50, window
                 np.add.at(u, own, -weight[:, None] * step - l2 * u[own])
                 loss -= float((y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean())
                 seen += 1
-            lr = max(rate * 1e-4, lr - rate * len(doc) / max(1, total))
+            lr = max(rate * 1e-4, lr - rate * (span[1] - span[0]) * len(doc) / max(1, total))
             if normalise == "document":
                 u, v = unit(u), unit(v)
         losses.append(loss / max(1.0, seen))
@@ -155,20 +163,62 @@ def train_sgns(docs: list[np.ndarray], counts: np.ndarray, dim: int = 50, window
     return (unit(u), unit(v), losses) if normalise == "end" else (u, v, losses)
 
 
-def sgns_by_language(encoded: DataFrame, vocab: DataFrame, dim: int = 16, epochs: int = 1, most_docs: int = 200) -> DataFrame:
-    """(lang, wid, u, v, loss): one model a language, each trained in a task on its `most_docs` documents of least hash."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    docs = encoded.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most_docs).select("lang", F.lit(None).cast("long").alias("wid"), F.lit(None).cast("long").alias("n"), "ids", "rn")
-    both = vocab.select("lang", "wid", "n", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("int").alias("rn")).unionByName(docs)
+def train_in_shards(texts: DataFrame, vocab: DataFrame, by: str, learn: Callable, dim: int, epochs: int, tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(`by`, kind, wid, sw, x, loss): rows of U and V (kind "u", "v") trained on all texts, a shard of about `tokens` tokens a task.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf[pdf["wid"].notna()].sort_values("wid")
-        texts = pdf[pdf["ids"].notna()].sort_values("rn")
-        place = {int(x): i for i, x in enumerate(words["wid"])}
-        u, v, losses = train_sgns([np.array([place[int(i)] for i in x], int) for x in texts["ids"]], words["n"].to_numpy(float), dim=dim, epochs=epochs)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "wid": words["wid"].astype(int), "u": list(u), "v": list(v), "loss": losses[-1]})
-
-    return both.groupBy("lang").applyInPandas(one, "lang string, wid long, u array<double>, v array<double>, loss double")
+    texts: (`by`, id, size, more); vocab: (`by`, more), one model each. Every pass starts all shards of a model
+    from the same matrices and averages theirs, a row by how often its word occurs in the shard.
+    learn: (vocabulary, texts, rows of the last pass or None, span) to rows (kind, wid, sw, x, weight), loss.
+    """
+    numbers = vocab.select(by).distinct().join(texts.groupBy(by).agg(F.sum("size").alias("total")), by, "left")
+    numbers = store(numbers.select(by, F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0)) / tokens)).cast("long").alias("shards")), "shards")
+    dealt = store(texts.join(F.broadcast(numbers), by).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards"))).drop("shards"), "shard-texts")
+    shards = numbers.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    kinds, state = dict(vocab.select(by).dtypes), None
+    for k in range(epochs):
+        span = (k / epochs, (k + 1) / epochs)
+
+        def one(key: tuple, own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+            before = words[words["kind"].notna()] if "kind" in words else words[:0]
+            rows, loss = learn(words[words["kind"].isna()] if "kind" in words else words, own.sort_values(["id"]), before if len(before) else None, span)
+            return rows.assign(**{by: key[0]}, loss=loss, size=float(own["size"].sum()) + 1e-9)[[by, "kind", "wid", "sw", "x", "weight", "loss", "size"]]
+
+        held = vocab if state is None else vocab.unionByName(state.drop("loss"), allowMissingColumns=True)
+        made = dealt.groupBy(by, "shard").cogroup(held.join(F.broadcast(shards), by).groupBy(by, "shard")).applyInPandas(one, f"{by} {kinds[by]}, kind string, wid long, sw string, x array<double>, weight double, loss double, size double")
+        mean = F.array(*[F.sum(F.col("x")[i] * F.col("weight")) / F.sum("weight") for i in range(dim)])
+        state = store(made.groupBy(by, "kind", "wid", "sw").agg(mean.alias("x"), (F.sum(F.col("loss") * F.col("size")) / F.sum("size")).alias("loss")), "shard-vectors")
+    return state
+
+
+def vector_rows(kind: str, keys: list, names: list, m: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+    """Rows for train_in_shards. A row whose word the shard lacks has next to no weight."""
+    return pd.DataFrame({"kind": kind, "wid": pd.array(keys, dtype="Int64"), "sw": names, "x": list(m), "weight": times + 1e-9})
+
+
+def matrix(rows: pd.DataFrame, kind: str, keys: list, column: str = "wid") -> np.ndarray:
+    """The vectors of `kind` in the order of `keys`."""
+    own = rows[(rows["kind"] == kind) & rows[column].notna()]
+    at = dict(zip(own[column], own["x"], strict=True))
+    return np.array([at[k] for k in keys])
+
+
+def sgns_by_language(encoded: DataFrame, vocab: DataFrame, dim: int = 16, epochs: int = 1, tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(lang, wid, u, v, loss): one model a language, trained on all its documents in shards."""
+
+    def learn(words: pd.DataFrame, texts: pd.DataFrame, before: pd.DataFrame | None, span: tuple[float, float]):
+        words = words.sort_values("wid")
+        wids = [int(x) for x in words["wid"]]
+        place = {x: i for i, x in enumerate(wids)}
+        docs = [np.array([place[int(i)] for i in x], int) for x in texts["ids"]]
+        start = None if before is None else (matrix(before, "u", wids), matrix(before, "v", wids))
+        u, v, losses = train_sgns(docs, words["n"].to_numpy(float), dim=dim, start=start, span=span)
+        times = np.bincount(np.concatenate([np.zeros(0, int), *docs]), minlength=len(wids))
+        return pd.concat([vector_rows(k, wids, [None] * len(wids), m, times) for k, m in (("u", u), ("v", v))]), losses[-1]
+
+    texts = encoded.filter("ids is not null").select("lang", F.col("doc_id").alias("id"), F.size("ids").alias("size"), "ids")
+    rows = train_in_shards(texts, vocab.select("lang", "wid", "n"), "lang", learn, dim, epochs, tokens)
+    pick = lambda k: F.first(F.when(F.col("kind") == k, F.col("x")), True).alias(k)
+    return rows.groupBy("lang", "wid").agg(pick("u"), pick("v"), F.first("loss").alias("loss"))
 
 
 def transfer(own: DataFrame, other: DataFrame) -> DataFrame:

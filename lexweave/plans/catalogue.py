@@ -447,7 +447,7 @@ def _(spark, d):
     docs = _docs(spark, d)
     vocab = store(corpus.ranked(corpus.vocabulary(docs).filter("n >= 20"), "lang", ["doc", "pos"], "wid").select("lang", "tok", "n", "wid"), "vocab")
     encoded = lexical.encode(corpus.token_rows(docs, "lang"), vocab).join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", F.col("ids").cast("array<long>").alias("ids"))
-    return lexical.sgns_by_language(encoded, vocab.select("lang", F.col("wid").cast("long").alias("wid"), "n"), most_docs=20)
+    return lexical.sgns_by_language(encoded, vocab.select("lang", F.col("wid").cast("long").alias("wid"), "n"))
 
 
 @query("boundary_features")

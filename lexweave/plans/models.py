@@ -154,7 +154,7 @@ def _(spark, d):
     docs = _docs(spark, d)
     vocab = store(corpus.ranked(corpus.vocabulary(docs).filter("n >= 20"), "lang", ["doc", "pos"], "wid").select("lang", "tok", "n", "wid"), "vocab")
     encoded = lexical.encode(corpus.token_rows(docs, "lang"), vocab).join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", F.col("ids").cast("array<long>").alias("ids"))
-    return models.sgns_with_subwords(encoded, vocab, most_docs=20)
+    return models.sgns_with_subwords(encoded, vocab)
 
 
 @query("sgns_bilingual")
@@ -163,7 +163,7 @@ def _(spark, d):
     side = lambda c, k: x.select(F.lit(k).alias("side"), F.explode(c).alias("tok")).groupBy("side", "tok").agg(F.count("*").alias("n"))
     vocab = store(corpus.ranked(side("source", 1).unionByName(side("target", 2)), "side", ["tok"], "wid").select("side", "tok", "n", F.col("wid").cast("long").alias("wid")), "vocab")
     ids = lambda c, k: x.select("pair_id", F.posexplode(c).alias("pos", "tok")).join(vocab.filter(F.col("side") == k), "tok").groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "wid"))), lambda p: p["wid"]).alias(c))
-    return models.sgns_bilingual(ids("source", 1).join(ids("target", 2), "pair_id"), vocab, most_pairs=100)
+    return models.sgns_bilingual(ids("source", 1).join(ids("target", 2), "pair_id"), vocab)
 
 
 @query("stream_vocab", f"WITH {_VOC} SELECT lang, tok, n FROM voc")

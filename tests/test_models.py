@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexweave.operators import models
+from lexweave.operators import lexical, models
 from lexweave.streaming import counts
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +99,14 @@ def test_training_learns(spark):
     pairs = spark.createDataFrame([(i, [0, 1, 2], [2, 1, 0]) for i in range(8)], "pair_id long, source array<int>, target array<int>")
     n = spark.createDataFrame([(s, i, 8) for s in (1, 2) for i in range(3)], "side int, wid long, n long")
     assert models.sgns_bilingual(pairs, n, dim=4, window=2).groupBy("direction").agg(F.count("*")).count() == 2
+
+
+def test_training_takes_all_documents_in_shards(spark):
+    # 300 documents of words 0 and 1, and one alone that holds words 2 and 3.
+    rows = [(i, "en", [0, 1] * 8) for i in range(300)] + [(300, "en", [2, 3] * 40)]
+    e = spark.createDataFrame(rows, "doc_id long, lang string, ids array<long>")
+    v = spark.createDataFrame([("en", i, n) for i, n in enumerate([2400, 2400, 40, 40])], "lang string, wid long, n long")
+    for epochs in (1, 2):
+        got = {r.wid: r for r in lexical.sgns_by_language(e, v, dim=4, epochs=epochs, tokens=1000).collect()}
+        start, _, _ = lexical.train_sgns([], np.array([2400, 2400, 40, 40]), dim=4)
+        assert sorted(got) == [0, 1, 2, 3] and all(np.abs(np.array(got[k].u) - start[k]).max() > 1e-3 for k in got)
