@@ -159,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Rows (rid, n, group) for docs (rid long, text string): the size of the set and a number of the component, null for empty sets."""
+    """Rows (rid, tid, n, group) for docs (rid long, text string): tid the hash of the text, the size of the set and a number of the component, null for empty sets."""
     rows = store(signatures(docs, width, percent), "jaccard")
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix", *BITS)])
     classes = store(classes, "classes")
@@ -176,7 +176,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     most = lambda x, y: F.lit(100 - percent) * (x + y) / (100 + percent) + 1e-9
     final = linked(postings, classes.select("id", *BITS), verify, percent, True, most).withColumnsRenamed({"node": "id", "component": "group"})
     groups = classes.select("sig", "id").join(final, "id", "left").select("sig", F.coalesce("group", "id").alias("group"))
-    return rows.select("rid", "sig", "n").join(groups, "sig", "left").select("rid", "n", "group")
+    return rows.select("rid", F.xxhash64("text").alias("tid"), "sig", "n").join(groups, "sig", "left").select("rid", "tid", "n", "group")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id)."""
-    found = store(join(_keyed(docs), width, percent), "groups")
+    found = store(join(_keyed(docs), width, percent).select("rid", "n", "group"), "groups")
     least = found.filter("group is not null").groupBy("group").agg(F.min("rid").alias("least"))
     out = found.join(least, "group", "left").select(F.col("rid"), "n", F.coalesce("least", "rid").alias("least"))
     shown = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
@@ -194,12 +194,13 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` with the least id of their group, and all without words. Of repeated rows of that id one stays."""
+    """The row of `docs` with the least id, then hash of its text, of each group, and of those without words one of each id and text."""
     columns = [docs[c] for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("rid"), docs["text"].cast("string").alias("text"))
     found = store(join(rows.select("rid", "text"), width, percent), "groups")
-    keep = found.filter("group is not null").groupBy("group").agg(F.min("rid").alias("rid")).select("rid").unionByName(found.filter("group is null").select("rid")).distinct()
-    return rows.join(keep, "rid").groupBy("rid", "text").agg(F.first("_row").alias("_row")).select("_row.*")
+    least = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("rid", "tid")).alias("k")).select("k.*")
+    keep = least.unionByName(found.filter("group is null").select("rid", "tid")).distinct()
+    return rows.withColumn("tid", F.xxhash64("text")).join(keep, ["rid", "tid"]).groupBy("rid", "tid").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

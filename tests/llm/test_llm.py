@@ -190,6 +190,13 @@ def test_lines_on_both_sides_of_32_words_meet(spark):
     assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(None, ""), (None, a), (1, a), (None, b), (None, b + " more"), (2, c), (2, a), (3, c)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {(r.doc_id, r.text) for r in got} - {(None, b), (None, b + " more")} == {(None, ""), (1, a), (2, c)}
+
+
 def test_preferences_match_sql_and_odd_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", None), (3, 0, None, "solo"), (None, 0, "user", "lost"), (4, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "é")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
