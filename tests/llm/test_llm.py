@@ -271,6 +271,16 @@ def test_attention_windows_score_each_subword_once_and_gradients_hold():
         model.p[name][at] -= 1e-2
 
 
+def test_attention_learns_from_all_training_documents(spark):
+    import public_tokenizers
+
+    rows = [(i, False, f"aa bb w{i}") for i in range(500)]
+    path = str(public_tokenizers.path(attention_lm.TOKENIZER))
+    model = attention_lm.fit(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), path)
+    seen, _ = attention_lm.Subwords(path).of(["aa", "bb", *[f"w{i}" for i in range(500)]])
+    assert (model.classes[np.unique(seen)] < attention_lm.CLASSES - 1).all()
+
+
 def test_toxicity_learns_from_labels_alone(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["the", "of", "sun", "rain", f"w{rng.randrange(500)}"]) for _ in range(40)) + (" scoundrels " if i % 4 == 0 else ""), rng.choice(["en", "de"]), int(i % 4 == 0)) for i in range(800)]
