@@ -190,6 +190,12 @@ def test_lines_on_both_sides_of_32_words_meet(spark):
     assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
 
 
+def test_copies_of_long_lines_with_few_words_go(spark):
+    passage = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    rows = [(1, f"{passage}\nshort"), (2, f"short\n{passage}"), (3, passage + passage), (4, "")]
+    assert _left(spark, rows) == {1: rows[0][1], 2: "short", 3: rows[2][1], 4: ""}
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
     rows = [(None, ""), (None, a), (1, a), (None, b), (None, b + " more"), (2, c), (2, a), (3, c)]
