@@ -1,21 +1,25 @@
 """What the operators share: storage between steps, and text as NumPy arrays.
 
 Texts reach Python as Arrow batches and are handled as one byte buffer with offsets, in slices of
-about two megabytes, so that memory is bounded by the longest text and no loop runs per word.
+half a megabyte, so that memory is bounded by the longest text and no loop runs per word.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows of a few longs, of a stored table, that are sent to every task. Larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that end a word `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z are lower case.
@@ -30,31 +34,75 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`, or a local one where that is unset."""
+    """The folder that the driver and all executors see: `spark.checkpoint.dir`, or a local one on a local master where that is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexweave-")
         sc.setCheckpointDir(found)
     return found
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it again: lineage ends here and no step runs twice."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def store_in_small_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
-    """`store`, with at most `rows` rows in an Arrow batch, for rows that hold several texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(rows))
+def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it again: lineage ends here and no step runs twice.
+
+    Shuffle files of the write go when it ends. batch_rows: at most so many rows in an Arrow batch, for rows of several texts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    wanted = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
-        return store(df, name)
+        # The plan, and with it the settings, are made anew.
+        df.select("*").write.parquet(path)
     finally:
-        conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def at_hand(df: DataFrame) -> DataFrame:
+    """A stored table of a few longs a row, marked to be sent to every task if it has BROADCAST_ROWS rows at most, else to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _release() -> None:
+    """Return freed memory to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` that returns a task's memory when the task ends."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(own, schema)
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,17 +129,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_MUL, _INV)):
-            grown = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-            grown[0] = 1
-            np.multiply.accumulate(grown, out=grown)
-            _POWERS[k] = grown
-    return _POWERS[0][:n], _POWERS[1][:n]
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of _MUL and its inverse. Those of one slice are kept; a longer text makes its own."""
+    if n <= SLICE_BYTES + 1 and _POWERS:
+        return [p[:n] for p in _POWERS]
+    made = []
+    for base in (_MUL, _INV):
+        grown = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        grown[0] = 1
+        made.append(np.multiply.accumulate(grown, out=grown))
+    if n <= SLICE_BYTES + 1:
+        _POWERS[:] = made
+    return [p[:n] for p in made]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

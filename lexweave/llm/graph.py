@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps on an edge table.
 
 Nothing is collected: each step is a grouped minimum (pre-aggregated before its shuffle) and a join
-that adaptive execution may split at a hot node. Steps are written to the shared folder.
+that adaptive execution may split at a hot node. Steps are written to the shared folder, and a step's
+table goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -29,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        now = store(_star(_star(now, small=False), small=True), "stars")
+        before, now = now, store(_star(_star(now, small=False), small=True), "stars")
+        discard(before)
         state = now.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first()
         if tuple(state) == seen:
             break

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, list_column, mix, read, signed, slices, span_hash, store, store_in_small_batches, windows, words
+from .common import LOWER, SPACE, at_hand, discard, list_column, mapped, mix, read, signed, slices, span_hash, store, windows, words
 from .meeting import linked
 
 WIDTH, PERCENT = 4, 85
@@ -76,7 +76,7 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
         own = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"k": pa.array(own, pa.int32()), "n": pa.array(counts[own], pa.int64())})
 
-    sums = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    sums = mapped(docs.select("text"), run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
     return out
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(count))), batch.column("rid"), batch.column("text"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64()), *[pa.array(x) for x in bitmaps(found, row, len(count)).T]], ["uid", "rid", "text", "sig", "n", "matches", "prefix", *BITS])
             uid += len(count)
 
-    return docs.mapInArrow(run, "uid long, rid long, text string, sig binary, n long, matches int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in BITS))
+    return mapped(docs, run, "uid long, rid long, text string, sig binary, n long, matches int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def bitmaps(found: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return store_in_small_batches(with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links", 200)
+    return store(mapped(with_b.select("a", "b", "text_a", "text_b"), run, "a long, b long"), "links", 200)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -170,8 +170,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         # An id is a row's, so that no class of many copies meets in one task.
         # Stored, so that its size is known before the join: while it is small, no other text moves.
         wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        texts = store(rows.select(F.col("uid").alias("id"), "text").join(wanted, "id"), "texts")
-        return verified(pairs, texts, width, percent)
+        texts = store(rows.select(F.col("uid").alias("id"), "text").join(at_hand(wanted), "id"), "texts")
+        out = verified(pairs, texts, width, percent)
+        discard(wanted, texts)
+        return out
 
     most = lambda x, y: F.lit(100 - percent) * (x + y) / (100 + percent) + 1e-9
     final = linked(postings, classes.select("id", *BITS), verify, percent, True, most).withColumnsRenamed({"node": "id", "component": "group"})

@@ -1,11 +1,12 @@
 """Links between the members of shared buckets, without all pairs of a bucket.
 
-Postings (token, id, size, matches, indexed), ids long, meet in two rounds. In the first each meets a few
-centres of its tokens, chosen by hash, and keeps two of them: the one with the most tokens in common, and
-the one first by hash, so that pairs grow with the ids; verified links form components. Then all postings
-of a token meet whose ids are still in different components. That is exact for components: a link inside
-one cannot change them. A large group of near copies is joined by its centres in the first round and
-makes few pairs in the second.
+Postings (token, id, size, matches, indexed), ids long, meet in rounds. While the pairs of some tokens
+outnumber what it costs to meet a few centres, their ids meet CENTRES centres of the token, chosen by
+hash anew each round, of other components than their own, and keep two of them: the one whose bitmap is
+nearest, and the one first by hash, so that pairs grow with the ids. Verified links join components.
+Rounds end when they no longer lessen the pairs by SLOW, or few are left. Then all postings of a token
+meet whose ids are still in different components. That is exact for components: a link inside one cannot
+change them. A large group of near copies is joined by centres and makes few pairs at the end.
 
 Of a pair the smaller set (then the lower id) must hold the token among its indexed ones. A pair is
 verified if it shares as many tokens as the lower of its two `matches`, if its sizes are close enough, if
@@ -20,10 +21,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import at_hand, discard, store
 from .graph import components
 
 CENTRES = 4
+#: A round is worth it while it leaves at most this share of the pairs, and while pairs outnumber postings.
+SLOW = 0.7
 
 
 def bits_apart(left: list[Column], right: list[Column]) -> Column:
@@ -32,33 +35,39 @@ def bits_apart(left: list[Column], right: list[Column]) -> Column:
 
 
 def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool, most_apart: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows (node, component) of all ids that link. verify: pairs (a, b) to those that link.
+    """Rows (node, component) of all ids that link. verify: pairs (a, b) to a stored table of those that link.
 
     bitmaps: id and the longs of its bitmap. most_apart: of the two sizes, in how many bits linked ids may differ.
     ordered: tokens are Jaccard prefixes, of ceil(percent * size / 100) - matches tokens less than the
     set, and the indexed ones of ceil(2 * percent * size / (100 + percent)) - matches less.
     """
     bits = [c for c in bitmaps.columns if c != "id"]
-    held_columns = ["id", "size", "matches", *bits]
+    held_columns = ["id", "size", "matches", "component", *bits]
+
+    def apart(x: str, y: str) -> Column:
+        return bits_apart([F.col(f"{x}.{b}") for b in bits], [F.col(f"{y}.{b}") for b in bits])
 
     def near(x: str, y: str) -> Column:
         size = [F.col(f"{c}.size") for c in (x, y)]
-        few = bits_apart([F.col(f"{x}.{b}") for b in bits], [F.col(f"{y}.{b}") for b in bits]) <= most_apart(*size)
-        return (F.least(*size) * 100 >= F.greatest(*size) * percent) & few
-
-    def picks(live: DataFrame, centres: DataFrame) -> DataFrame:
-        """(a, b): each id with at most two centres."""
-        met = live.alias("a").join(centres.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & near("a", "b"))
-        counted = met.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("centre")).agg(F.count("*").alias("k"), F.first(F.least("a.matches", "b.matches")).alias("need")).filter("k >= need")
-        order = F.xxhash64("centre")
-        two = counted.groupBy("id").agg(F.max_by("centre", F.shiftleft("k", 44) + F.shiftrightunsigned(order, 20)).alias("best"), F.min_by("centre", order).alias("common"))
+        return (F.least(*size) * 100 >= F.greatest(*size) * percent) & (apart(x, y) <= most_apart(*size)) & (F.col(f"{x}.component") != F.col(f"{y}.component"))
+
+    def picks(held: DataFrame, turn: int) -> DataFrame:
+        """(a, b): each id with at most two centres of its tokens."""
+        centre = lambda k: F.min_by(F.struct(*held_columns), F.xxhash64("id", F.lit(k)))
+        found = held.groupBy("token").agg(F.array_distinct(F.array(*[centre(CENTRES * turn + k) for k in range(CENTRES)])).alias("c"))
+        centres = found.select("token", F.explode("c").alias("c")).select("token", "c.*")
+        met = held.alias("a").join(centres.alias("b"), (F.col("a.token") == F.col("b.token")) & near("a", "b"))
+        pair = met.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("centre"))
+        counted = pair.agg(F.count("*").alias("k"), F.min(F.least("a.matches", "b.matches")).alias("need"), F.min(apart("a", "b")).alias("apart")).filter("k >= need")
+        order = F.xxhash64("centre", F.lit(turn))
+        two = counted.groupBy("id").agg(F.min_by("centre", F.struct("apart", order)).alias("best"), F.min_by("centre", order).alias("common"))
         both = two.select("id", F.explode(F.array("best", "common")).alias("centre"))
         return both.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
     def all_apart(held: DataFrame) -> DataFrame:
         """(a, b): all ids of different components that meet in as many tokens as is demanded."""
         before = F.struct("a.size", "a.id") < F.struct("b.size", "b.id")
-        met = held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & before & F.col("a.indexed") & (F.col("a.component") != F.col("b.component")) & near("a", "b"))
+        met = held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & before & F.col("a.indexed") & near("a", "b"))
         rows = met.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("a", "b") for x in ("id", "size", "matches")])
         counted = rows.groupBy(rows.columns).agg(F.count("*").alias("k"))
         need = F.least("a_matches", "b_matches")
@@ -70,19 +79,31 @@ def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame]
         pairs = counted.filter(F.col("k") >= need)
         return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
-    # Tokens of one posting find nobody, and are most: counted alone, before anything else moves. Tables of
-    # tokens grow with the data: joined by a shuffle at every size.
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("any")).filter("df > 1 and any").select("token")
-    live = store(postings.join(shared.hint("merge"), "token"), "postings")
-    live = store(live.join(bitmaps, "id"), "postings")
-    centre = lambda k: F.min_by(F.struct(*held_columns), F.xxhash64("id", F.lit(k)))
-    centres = live.groupBy("token").agg(F.array_distinct(F.array(*[centre(k) for k in range(CENTRES)])).alias("c")).select("token", F.explode("c").alias("c")).select("token", "c.*")
-    first = store(picks(live, centres), "pairs")
-    links = verify(first)
-    found = store(components(links), "components")
-
-    held = live.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    held = store(held.join(mixed.hint("merge"), "token"), "mixed")
-    second = store(all_apart(held).join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(verify(second)))
+    # Tokens of one posting find nobody, and are most: counted alone, before anything else moves.
+    shared = store(postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("any")).filter("df > 1 and any").select("token"), "tokens")
+    live = store(postings.join(at_hand(shared), "token"), "live")
+    discard(shared)
+    found, tried, turn, left = None, None, 0, None
+    while True:
+        held = live.withColumn("component", F.col("id")) if found is None else live.join(at_hand(found).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # Of each token, its pairs of different components: those still to be met.
+        parts = held.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+        mixed = store(parts.filter("nn < n * n").select("token", "n", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")), "mixed")
+        postings_left, pairs_left = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+        if found is None:
+            held = held.join(bitmaps, "id")
+        else:
+            held = held.join(at_hand(mixed.select("token")), "token").join(bitmaps, "id")
+        if pairs_left <= postings_left or (left is not None and pairs_left > SLOW * left):
+            break
+        crowded = at_hand(store(mixed.filter(F.col("pairs") > CENTRES * F.col("n")).select("token"), "crowded"))
+        pairs = picks(store(held.join(crowded, "token"), "held"), turn)
+        pairs = store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = verify(pairs)
+        known = links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found, turn, left = store(components(known), "components"), turn + 1, pairs_left
+    last = all_apart(store(held, "held"))
+    pairs = store(last if tried is None else last.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = verify(pairs)
+    return components(links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))

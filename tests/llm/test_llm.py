@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lexweave.llm import attention_lm, common, decontaminate, graph, html_text, jaccard, lines, packing, preferences, quality, secret_scan, toxicity
+from lexweave.llm import attention_lm, common, decontaminate, edits, graph, html_text, jaccard, lines, packing, preferences, quality, secret_scan, toxicity
 from lexweave.llm.html_text import _MARK
 
 DATA = "/root/testdata/sf0.001"
@@ -190,6 +190,55 @@ def test_lines_on_both_sides_of_32_words_meet(spark):
     assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
 
 
+def _alike(a, b):
+    """Edit similarity by the table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+@pytest.mark.parametrize("least, most", [(5, 7), (8, 14), (15, 30), (31, 32), (33, 59), (60, 120)])
+def test_recall_of_edited_lines_by_length(spark, docs, least, most):
+    rng = random.Random(least)
+    pool = [w for r in docs.filter("lang = 'en'").limit(60).collect() for w in re.findall("[a-z]+", (r.text or "").lower())]
+    rows, pairs = [], []
+    while len(pairs) < 150:
+        w = [rng.choice(pool) for _ in range(rng.randint(least, most))]
+        v = list(w)
+        for _ in range(rng.randint(1, max(1, len(w) // 10))):
+            v[rng.randrange(len(v))] = rng.choice(pool)
+        if v != w and len(" ".join(w)) >= 20 and _alike(" ".join(w), " ".join(v)) >= 0.8:
+            pairs.append(len(rows))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    left = _left(spark, rows)
+    assert all(left[i] == rows[i][1] for i in pairs) and sum(left[i + 1] == "" for i in pairs) >= 0.95 * len(pairs)
+
+
+def test_line_groups_by_brute_force(spark, docs):
+    """All lines of the smallest documents: what goes is what all pairs of lines say."""
+    rows = [(r.doc_id, r.text) for r in docs.filter("length(text) < 2500").orderBy("doc_id").limit(90).collect()]
+    norm = lambda t: " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[0-9]", "0", low(t))))
+    own = [(i, k, norm(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    own = [x for x in own if len(x[2].split()) >= lines.MIN_WORDS or len(x[2].replace(" ", "")) >= lines.MIN_POINTS]
+    texts = sorted({x[2] for x in own})
+    tall = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b))]
+    near = edits.within([a for a, _ in tall], [b for _, b in tall], np.array([0.2 * max(len(a), len(b)) + 1e-9 for a, b in tall]))
+    group = components([p for p, k in zip(tall, near) if k], texts)
+    first = {}
+    for i, k, t in own:
+        first[group[t]] = min(first.get(group[t], (i, k)), (i, k))
+    gone = collections.defaultdict(set)
+    for i, k, t in own:
+        if first[group[t]] != (i, k):
+            gone[i].add(k)
+    want = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+    assert sum(map(len, gone.values())) > 20 and _left(spark, rows) == want
+
+
 def test_copies_of_long_lines_with_few_words_go(spark):
     passage = "".join(chr(0x4E00 + 7 * k) for k in range(30))
     rows = [(1, f"{passage}\nshort"), (2, f"short\n{passage}"), (3, passage + passage), (4, "")]
@@ -349,7 +398,8 @@ def test_bit_parallel_edit_distance_by_brute_force():
     for _ in range(800):
         a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(14))) for _ in range(2))
         d = distance(a, b)
-        assert all(lines.edits(a, b, most) == (d <= most) for most in (0, 1, 2, 4, d, max(0, d - 1)))
+        most = np.array([0, 1, 2, 4, d, max(0, d - 1)])
+        assert (edits.within([a] * 6, [b] * 6, most) == (d <= most)).all()
 
 
 def test_set_bitmaps_never_differ_more_than_the_sets():

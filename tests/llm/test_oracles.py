@@ -33,15 +33,3 @@ def test_equals_sql_on_hard_rows(spark, tmp_path, name, sql):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     _equal(spark, name, sql, str(tmp_path))
-
-
-def test_blocks_are_the_bytes_of_the_simhash(spark):
-    import numpy as np
-
-    from lexweave.llm import lines
-
-    sig = np.random.default_rng(4).integers(0, 256, (50, lines.BLOCKS * lines.BITS // 8), np.uint8)
-    rows = spark.createDataFrame(sig.view(np.int64).tolist(), lines.BITMAP)
-    got = [r[0] for r in rows.select(lines.blocks()).collect()]
-    wide = [int.from_bytes(s.tobytes(), "little") for s in sig]
-    assert got == [[(w >> 24 * j & 0xFFFFFF) + (j << 24) for j in range(lines.BLOCKS)] for w in wide]
