@@ -62,7 +62,7 @@ def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         spark.conf.set(key, value)
     try:
         # The plan, and with it the settings, are made anew.
-        df.select("*").write.parquet(path)
+        df.select("*").write.parquet(path, compression="zstd")
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -1,12 +1,12 @@
 """Links between the members of shared buckets, without all pairs of a bucket.
 
-Postings (token, id, size, matches, indexed), ids long, meet in rounds. While the pairs of some tokens
-outnumber what it costs to meet a few centres, their ids meet CENTRES centres of the token, chosen by
-hash anew each round, of other components than their own, and keep two of them: the one whose bitmap is
-nearest, and the one first by hash, so that pairs grow with the ids. Verified links join components.
-Rounds end when they no longer lessen the pairs by SLOW, or few are left. Then all postings of a token
-meet whose ids are still in different components. That is exact for components: a link inside one cannot
-change them. A large group of near copies is joined by centres and makes few pairs at the end.
+Postings (token, id, size, matches, indexed), ids long, meet in rounds. In a round the ids of each token
+meet CENTRES of them, chosen by hash anew each round, if those are of other components than their own.
+Each id keeps the centre whose bitmap is nearest, and each two components at most CHANCES near ones of
+such pairs, so that pairs grow with the components. Verified links join components. A round follows while WORTH of the
+pairs of the last one link. Then all postings of a token meet whose ids are still
+in different components. That is exact for components: a link inside one cannot change them. A large
+group of near copies is joined by centres and makes few pairs at the end.
 
 Of a pair the smaller set (then the lower id) must hold the token among its indexed ones. A pair is
 verified if it shares as many tokens as the lower of its two `matches`, if its sizes are close enough, if
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import at_hand, discard, store
 from .graph import components
 
-CENTRES = 4
-#: A round is worth it while it leaves at most this share of the pairs, and while pairs outnumber postings.
-SLOW = 0.7
+CENTRES, CHANCES = 4, 8
+#: A round follows if such a share of the last one's pairs link, and FEW or more.
+WORTH, FEW = 0.1, 8
 
 
 def bits_apart(left: list[Column], right: list[Column]) -> Column:
@@ -34,35 +34,36 @@ def bits_apart(left: list[Column], right: list[Column]) -> Column:
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left, right, strict=True)), F.lit(0))
 
 
-def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool, most_apart: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool, most_apart: Callable[[Column, Column], Column], fits: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Rows (node, component) of all ids that link. verify: pairs (a, b) to a stored table of those that link.
 
     bitmaps: id and the longs of its bitmap. most_apart: of the two sizes, in how many bits linked ids may differ.
+    fits: whether two postings of a token, by alias, may make their ids link; they may have more columns.
     ordered: tokens are Jaccard prefixes, of ceil(percent * size / 100) - matches tokens less than the
     set, and the indexed ones of ceil(2 * percent * size / (100 + percent)) - matches less.
     """
     bits = [c for c in bitmaps.columns if c != "id"]
-    held_columns = ["id", "size", "matches", "component", *bits]
+    held_columns = [*(c for c in postings.columns if c not in ("token", "indexed")), "component", *bits]
 
     def apart(x: str, y: str) -> Column:
         return bits_apart([F.col(f"{x}.{b}") for b in bits], [F.col(f"{y}.{b}") for b in bits])
 
     def near(x: str, y: str) -> Column:
         size = [F.col(f"{c}.size") for c in (x, y)]
-        return (F.least(*size) * 100 >= F.greatest(*size) * percent) & (apart(x, y) <= most_apart(*size)) & (F.col(f"{x}.component") != F.col(f"{y}.component"))
+        close = (F.least(*size) * 100 >= F.greatest(*size) * percent) & (fits(x, y) if fits else F.lit(True))
+        return close & (apart(x, y) <= most_apart(*size)) & (F.col(f"{x}.component") != F.col(f"{y}.component"))
 
     def picks(held: DataFrame, turn: int) -> DataFrame:
-        """(a, b): each id with at most two centres of its tokens."""
+        """(a, b): ids and centres of their tokens, the nearest of their components."""
         centre = lambda k: F.min_by(F.struct(*held_columns), F.xxhash64("id", F.lit(k)))
         found = held.groupBy("token").agg(F.array_distinct(F.array(*[centre(CENTRES * turn + k) for k in range(CENTRES)])).alias("c"))
         centres = found.select("token", F.explode("c").alias("c")).select("token", "c.*")
         met = held.alias("a").join(centres.alias("b"), (F.col("a.token") == F.col("b.token")) & near("a", "b"))
-        pair = met.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("centre"))
-        counted = pair.agg(F.count("*").alias("k"), F.min(F.least("a.matches", "b.matches")).alias("need"), F.min(apart("a", "b")).alias("apart")).filter("k >= need")
-        order = F.xxhash64("centre", F.lit(turn))
-        two = counted.groupBy("id").agg(F.min_by("centre", F.struct("apart", order)).alias("best"), F.min_by("centre", order).alias("common"))
-        both = two.select("id", F.explode(F.array("best", "common")).alias("centre"))
-        return both.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        each = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("centre"), apart("a", "b").alias("apart"), F.col("a.component").alias("x"), F.col("b.component").alias("y"))
+        # Shared tokens aren't counted: a centre of some need not be one of the others.
+        best = each.groupBy("id").agg(F.min_by(F.struct("centre", "apart", "x", "y"), F.struct("apart", F.xxhash64("centre", F.lit(turn)))).alias("c")).select("id", "c.*")
+        one = best.groupBy(F.least("x", "y"), F.greatest("x", "y"), F.pmod(F.xxhash64("id"), F.lit(CHANCES))).agg(F.min_by(F.struct("id", "centre"), F.struct("apart", "id", "centre")).alias("p"))
+        return one.select(F.least("p.id", "p.centre").alias("a"), F.greatest("p.id", "p.centre").alias("b")).distinct()
 
     def all_apart(held: DataFrame) -> DataFrame:
         """(a, b): all ids of different components that meet in as many tokens as is demanded."""
@@ -83,27 +84,26 @@ def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame]
     shared = store(postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("any")).filter("df > 1 and any").select("token"), "tokens")
     live = store(postings.join(at_hand(shared), "token"), "live")
     discard(shared)
-    found, tried, turn, left = None, None, 0, None
+    found, tried, turn, worth = None, None, 0, True
     while True:
         held = live.withColumn("component", F.col("id")) if found is None else live.join(at_hand(found).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # Of each token, its pairs of different components: those still to be met.
-        parts = held.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        mixed = store(parts.filter("nn < n * n").select("token", "n", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")), "mixed")
-        postings_left, pairs_left = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
-        if found is None:
-            held = held.join(bitmaps, "id")
-        else:
-            held = held.join(at_hand(mixed.select("token")), "token").join(bitmaps, "id")
-        if pairs_left <= postings_left or (left is not None and pairs_left > SLOW * left):
+        if found is not None:
+            mixed = store(held.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token", "n"), "mixed")
+            # After the first round, centres are for tokens of more ids than they are.
+            crowded = mixed.filter(F.col("n") > 2 * CENTRES) if worth else mixed
+            held = held.join(at_hand(crowded.select("token")), "token")
+        held = store(held.join(bitmaps, "id"), "held")
+        if not worth:
             break
-        crowded = at_hand(store(mixed.filter(F.col("pairs") > CENTRES * F.col("n")).select("token"), "crowded"))
-        pairs = picks(store(held.join(crowded, "token"), "held"), turn)
+        pairs = picks(held, turn)
         pairs = store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = verify(pairs)
         known = links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found, turn, left = store(components(known), "components"), turn + 1, pairs_left
-    last = all_apart(store(held, "held"))
-    pairs = store(last if tried is None else last.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = verify(pairs)
-    return components(links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        n = links.count()
+        worth = n >= max(FEW, WORTH * pairs.count())
+        found, turn = store(components(known), "components"), turn + 1
+        discard(held)
+    links = verify(store(all_apart(held).join(tried, ["a", "b"], "left_anti"), "pairs"))
+    discard(held, live)
+    return components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
