@@ -3,9 +3,9 @@
 The configuration linear program over the length histogram (at most `capacity` lengths, whatever the
 number of documents) is solved by multiplicative weights: a configuration is a set of lengths that fits
 a sequence; each step prices the lengths, finds the dearest configuration by a knapsack dynamic program,
-takes it as often as its scarcest length allows, and lowers the prices of what it holds. The fractional
-solution is scaled to what exists and rounded down; what is left is packed by best fit over the
-histogram, longest first. The result is a plan of a few thousand rows. Ranks of equal lengths, from
+takes a share of it that what is left allows, as whole sequences, and lowers the prices of what it holds: the
+solution is rounded as it grows. What is left is packed by best fit over the histogram, longest first. Where best fit alone takes fewer sequences, its packing is taken. The prices give
+a lower bound for all packings, `Plan.bound`. The result is a plan of a few thousand rows. Ranks of equal lengths, from
 counts by task and a running sum over tasks, then give every piece its sequence and offset.
 
 A null text is an empty one and still has its end id. Repeated rows are packed each. Ties between
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, list_column, ragged, read, slices, span_hash, store
+from .common import SPACE, list_column, mapped, ragged, read, slices, span_hash, store
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Steps of multiplicative weights for each distinct length, and how fast prices fall.
-STEPS, FALL = 1, 0.5
+#: Steps of multiplicative weights for each distinct length, how fast prices fall, the share of what is left that a
+#: step takes, and how much more a long length is worth than short ones that make it up.
+STEPS, FALL, TAKE, LONG_FIRST = 2, 1.0, 0.5, 1.05
 #: Chunks whose ids a task remembers before it starts anew.
 REMEMBER = 1_000_000
 
@@ -43,37 +44,44 @@ class Chunks:
     """Ids of texts by the ids of their chunks.
 
     A chunk begins at white space that follows something else. The tokenizer's words never run from
-    other characters into white space, so that chunks have the same ids alone as in the text; each
+    other characters into white space, nor do its special tokens (one with white space, or that takes white
+    space beside it, makes each text one chunk), so that chunks have the same ids alone as in the text; each
     distinct one goes to the tokenizer once.
     """
 
-    _held: dict[str, "Chunks"] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)
+        marks = [t.content for t in added if t.special and not (t.single_word or t.normalized or self.whole)]
+        self.mark = (marks[0], self.tokenizer.token_to_id(marks[0])) if marks else None
         self.forget()
 
-    @classmethod
-    def of(cls, path: str) -> "Chunks":
-        """The one of this process: a Python worker runs many tasks, and remembers what they have in common."""
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
-
     def forget(self) -> None:
         self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        if self.mark and not any(self.mark[0] in t for t in texts):
+            # One call for all: a special token cuts the text, and its id the ids.
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark[1]), len(ids))
+            return ids[ids != self.mark[1]], np.diff(ends, prepend=-1) - 1
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum())), count
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the offsets of the texts."""
         n = len(at) - 1
         space = SPACE[data]
         opens = np.zeros(len(data), bool)
-        opens[1:] = space[1:] & ~space[:-1]
+        if not self.whole:
+            opens[1:] = space[1:] & ~space[:-1]
         opens[at[:-1][at[:-1] < len(data)]] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))[: len(starts)]
@@ -85,11 +93,9 @@ class Chunks:
         new = np.flatnonzero(self.keys[place] != own) if len(self.keys) else np.arange(len(own))
         if len(new):
             raw = data.tobytes()
-            got = self.tokenizer.encode_batch_fast([raw[starts[i] : ends[i]].decode() for i in one[new]], add_special_tokens=False)
-            lists = [g.ids for g in got]
-            count = np.array([len(x) for x in lists], np.int64)
+            got, count = self._ids([raw[starts[i] : ends[i]].decode() for i in one[new]])
             begin = len(self.ids) + np.concatenate(([0], np.cumsum(count)[:-1]))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))])
+            self.ids = np.concatenate([self.ids, got])
             keys = np.concatenate([self.keys, own[new]])
             order = np.argsort(keys, kind="stable")  # two runs that are in order
             self.keys, self.begin, self.count = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
@@ -121,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     """Rows of _PIECE (and `ids`) for docs (doc_id long, text string). rank: among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, seen = Chunks.of(tokenizer), np.zeros(capacity + 1, np.int64)
+        chunks, seen = Chunks(tokenizer), np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch, data, at in slices(batches):
             ids, offsets = chunks.encode(data, at)
@@ -142,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(run, _PIECE + (", ids array<int>" if with_ids else ""))
+    return mapped(docs, run, _PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def dearest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -151,7 +157,7 @@ def dearest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
     usable = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(int(lengths[0]), capacity + 1):
         value = best[c - lengths[: usable[c]]] + price[: usable[c]]
-        k = int(value.argmax())
+        k = len(value) - 1 - int(value[::-1].argmax())  # of equals the longest: short ones fit anywhere later
         if value[k] > best[c - 1]:
             best[c], taken[c] = value[k], k
         else:
@@ -167,27 +173,31 @@ def dearest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(index of length -> how many, number of sequences) from the linear program, rounded down to what exists."""
-    weight, used, x = np.ones(len(lengths)), np.zeros(len(lengths)), {}
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """(index of length -> how many, number of sequences) from the linear program, rounded, within what exists; and a lower bound.
+
+    The bound is the best of the steps' dual solutions: prices over the dearest configuration's price.
+    """
+    weight, left, out, bound = np.ones(len(lengths)), counts.copy(), {}, 0.0
     for _ in range(STEPS * len(lengths)):
-        config = dearest(lengths * weight, lengths, capacity)
-        ids, n = np.array(list(config)), np.array(list(config.values()))
-        step = float((counts[ids] / n).min())
-        used[ids] += step * n
-        weight[ids] *= np.exp(-FALL * step * n / counts[ids])
+        own = np.flatnonzero(left)
+        if not len(own):
+            break
+        price = lengths[own] ** LONG_FIRST * weight[own]
+        config = dearest(price, lengths[own], capacity)
+        k, n = np.array(list(config)), np.array(list(config.values()))
+        if len(own) == len(lengths):
+            bound = max(bound, float(counts @ price) / float(n @ price[k]))
+        ids = own[k]
+        # A share of what is left, as a whole number of sequences: the solution is rounded as it grows.
+        n = np.minimum(n, left[ids])
+        times = max(1, int((left[ids] // n).min() * TAKE))
+        left[ids] -= n * times
+        weight[ids] *= np.exp(-FALL * times * n / counts[ids])
         weight /= weight.max()
-        key = tuple(sorted(config.items()))
-        x[key] = x.get(key, 0.0) + step
-    scale = 1 / (used / counts).max()
-    left, out = counts.copy(), []
-    for key, value in sorted(x.items(), key=lambda kv: -kv[1]):
-        times = min([int(value * scale + 1e-9), *[int(left[i] // n) for i, n in key]])
-        if times:
-            out.append((dict(key), times))
-            for i, n in key:
-                left[i] -= n * times
-    return out
+        key = tuple(sorted(zip(ids.tolist(), n.tolist(), strict=True)))
+        out[key] = out.get(key, 0) + times
+    return [(dict(key), times) for key, times in out.items()], bound
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -216,21 +226,30 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
 
 
 class Plan:
-    """Sequence and offset of the k-th piece of each length."""
+    """Sequence and offset of the k-th piece of each length.
+
+    bound: no packing has fewer sequences. solved: how many pieces the linear program places.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY):
         lengths = np.array(sorted(histogram), np.int64)
         counts = np.array([histogram[int(x)] for x in lengths], np.int64)
         short = lengths < capacity
         groups = [({len(lengths) - 1: 1}, int(counts[-1]))] if len(lengths) and not short[-1] else []
+        self.bound, self.solved = sum(n for _, n in groups), 0
         if short.any():
-            solved = configurations(lengths[short], counts[short], capacity)
+            solved, bound = configurations(lengths[short], counts[short], capacity)
+            self.bound += max(int(np.ceil(bound - 1e-6)), -(-int(lengths[short] @ counts[short]) // capacity))
             left = counts[short].copy()
             for config, times in solved:
                 for i, n in config.items():
                     left[i] -= n * times
             kept = np.flatnonzero(left)
-            groups += solved + [({int(kept[i]): n for i, n in config.items()}, times) for config, times in best_fit(lengths[short][kept], left[kept], capacity)]
+            mixed = solved + [({int(kept[i]): n for i, n in config.items()}, times) for config, times in best_fit(lengths[short][kept], left[kept], capacity)]
+            plain = best_fit(lengths[short], counts[short], capacity)
+            better = sum(n for _, n in mixed) <= sum(n for _, n in plain)
+            groups += mixed if better else plain
+            self.solved = int((counts[short] - left).sum()) if better else 0
         slots: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]
         filled, base = np.zeros(capacity + 1, np.int64), 0
         for config, times in groups:
@@ -272,7 +291,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return mapped(ranked, run, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

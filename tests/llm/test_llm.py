@@ -150,6 +150,26 @@ def test_plan_is_near_the_bound():
     assert -(-total // 1024) <= plan.sequences <= 1.03 * total / 1024 + 1
 
 
+@pytest.mark.parametrize("least, most", [(300, 520), (1, 1024)])
+def test_plan_is_no_worse_than_best_fit(least, most):
+    histogram = collections.Counter(np.random.default_rng(4).integers(least, most, 20000).tolist())
+    lengths, counts = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+    plan, plain = packing.Plan(dict(histogram)), sum(n for _, n in packing.best_fit(lengths, counts, 1024))
+    assert plan.bound <= plan.sequences <= plain
+    assert most > 600 or plan.sequences < 0.99 * plain and plan.solved > 0.6 * counts.sum()
+
+
+def test_ids_are_those_of_the_plain_call():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, parts = random.Random(4), ["<|endoftext|>", " ", "  ", "\n", "a", "the", "'s", "1", "é", "\u00a0", "<|", "endoftext|>", "."]
+    texts = ["'sba<|endoftext|> 1a", *("".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(2000))]
+    ids, at = packing.Chunks(packing.tokenizer_path()).encode(*common.as_bytes(pa.array(texts)))
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    assert all(ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts))
+
+
 def test_lines_keep_one_of_each_group(spark, odd):
     long = " ".join(f"word{k}" for k in range(60))
     near = long.replace("word7 ", "sword ")
