@@ -49,12 +49,14 @@ class Chunks:
     distinct one goes to the tokenizer once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
+        """special: whether special tokens in texts have their ids, as in the plain call; else they are spelled."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else []
         self.whole = any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)
         marks = [t.content for t in added if t.special and not (t.single_word or t.normalized or self.whole)]
         self.mark = (marks[0], self.tokenizer.token_to_id(marks[0])) if marks else None
@@ -77,7 +79,16 @@ class Chunks:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the offsets of the texts."""
-        n = len(at) - 1
+        flat, length, first = self.by_chunk(data, at)
+        offsets = np.concatenate(([0], np.cumsum(length)))[first] + np.arange(len(at))
+        out = np.full(offsets[-1], END_ID, np.uint32)
+        where = np.ones(len(out), bool)
+        where[offsets[1:] - 1] = False
+        out[where] = flat
+        return out, offsets
+
+    def by_chunk(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks, how many each has, and the texts' first chunks."""
         space = SPACE[data]
         opens = np.zeros(len(data), bool)
         if not self.whole:
@@ -103,14 +114,7 @@ class Chunks:
         place = place[which]
         length = self.count[place]
         flat = self.ids[ragged(self.begin[place], length)]
-        sums = np.concatenate(([0], np.cumsum(length)))
-        first = np.searchsorted(starts, at)
-        offsets = sums[first] + np.arange(n + 1)
-        out = np.full(offsets[-1], END_ID, np.uint32)
-        where = np.ones(len(out), bool)
-        where[offsets[1:] - 1] = False
-        out[where] = flat
-        return out, offsets
+        return flat, length, np.searchsorted(starts, at)
 
 
 def cut(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

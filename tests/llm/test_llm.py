@@ -352,10 +352,38 @@ def test_attention_learns_from_all_training_documents(spark):
     rows = [(i, False, f"aa bb w{i}") for i in range(500)]
     path = str(public_tokenizers.path(attention_lm.TOKENIZER))
     model = attention_lm.fit(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), path)
-    seen, _ = attention_lm.Subwords(path).of(["aa", "bb", *[f"w{i}" for i in range(500)]])
+    import pyarrow as pa
+
+    _, _, seen, _ = attention_lm.spelled(*common.as_bytes(pa.array(["aa bb " + " ".join(f"w{i}" for i in range(500))])), packing.Chunks(path, special=False))
     assert (model.classes[np.unique(seen)] < attention_lm.CLASSES - 1).all()
 
 
+def test_word_masses_of_the_language_model_add_to_one():
+    """A vocabulary of 6 subwords, 3 of which begin words: all spellings up to a length, and what is left of longer ones."""
+    model, rng = attention_lm.Attention(), np.random.default_rng(3)
+    n = attention_lm.VOCABULARY
+    count, starts = np.zeros(n), np.zeros(n, bool)
+    own = [5, 6, 7, 11, 12, attention_lm.END]
+    count[own], starts[[5, 6, attention_lm.END]] = rng.integers(5, 50, 6), True
+    model.set_classes(count, rng.random((n, 4)).astype(np.float32), starts)
+    model.inner = np.where(count > 0, model.inner, -60.0).astype(np.float32)  # only those six
+    mass = np.bincount(model.classes, np.exp(model.inner.astype(np.float64)), attention_lm.CLASSES)
+    full = np.bincount(model.classes[own], minlength=attention_lm.CLASSES) > 0
+    model.inner = (model.inner - np.log(np.maximum(mass, 1e-30))[model.classes]).astype(np.float32)
+    model.starting = np.bincount(model.classes, np.exp(model.inner.astype(np.float64)) * starts, attention_lm.CLASSES).astype(np.float32)
+    model.p["bias"][~full] = -1e4  # no subword is of these
+    sums, layer = 0.0, [[5], [6]]
+    for _ in range(7):
+        for w in layer:
+            # The word, in front of an end.
+            got = model.word_log_probabilities(np.array([*w, attention_lm.END]), np.array([0, 2]), np.array([0, len(w), len(w) + 1]))
+            sums += math.exp(got[0])
+        layer = [[*w, s] for w in layer for s in (7, 11, 12)] if len(layer) < 800 else []
+    end = model.word_log_probabilities(np.array([attention_lm.END]), np.array([0, 1]), np.array([0, 1]))
+    sums += math.exp(end[0])
+    assert 0.9 < sums <= 1.0 + 1e-4
+
+
 def test_toxicity_learns_from_labels_alone(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["the", "of", "sun", "rain", f"w{rng.randrange(500)}"]) for _ in range(40)) + (" scoundrels " if i % 4 == 0 else ""), rng.choice(["en", "de"]), int(i % 4 == 0)) for i in range(800)]
