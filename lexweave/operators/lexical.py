@@ -14,31 +14,67 @@ from ..functions import vectors as V
 from ..sources.files import store
 
 
+#: Queries that go to every task at once.
+QUERY_BLOCK = 2000
+
+
 def top_neighbours(queries: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
     """(qid, wid, sim, rank): of each query (qid, q) the n vectors (wid, v) of highest cosine, ties by descending id.
 
-    Queries, a bounded set, go to every task; a task returns the best n of its vectors for each.
+    Queries go to every task in blocks of about QUERY_BLOCK; a task returns the best n of its vectors for each.
+    Zero vectors are nobody's neighbours, and zero queries have none. Ids of queries are not null.
     """
-    rows = [(r["qid"], r["q"]) for r in queries.collect()]
-    ids, matrix = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
+    queries = store(queries.select("qid", "q"), "queries")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = None
+    for k in range(blocks):
+        rows = [(r["qid"], r["q"]) for r in queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).collect()]
+        part = _best_of_block(rows, vectors, n)
+        parts = part if parts is None else parts.unionByName(part)
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("wid"))
+    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def _best_of_block(rows: list[tuple], vectors: DataFrame, n: int) -> DataFrame:
+    ids, matrix = np.array([r[0] for r in rows], dtype="int64"), np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    norms = np.linalg.norm(matrix, axis=1) if len(rows) else np.zeros(0)
+    ids, matrix = ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
 
     def run(batches):
         best = None
         for pdf in batches:
-            v = np.array(pdf["v"].tolist(), float)
+            v = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
             norms = np.linalg.norm(v, axis=1)
             v, wid = v[norms > 0] / norms[norms > 0, None], pdf["wid"].to_numpy()[norms > 0]
+            if not len(ids) or not len(wid):
+                continue
             sims = matrix @ v.T
-            own = pd.DataFrame({"qid": np.repeat(ids, len(wid)), "wid": np.tile(wid, len(ids)), "sim": sims.ravel()})
+            # Of each batch only what can be among the first n, ties with the last one too.
+            least = np.sort(sims, axis=1)[:, -min(n, len(wid))]
+            at, of = np.nonzero(sims >= least[:, None])
+            own = pd.DataFrame({"qid": ids[at], "wid": wid[of], "sim": sims[at, of]})
             own = own if best is None else pd.concat([best, own])
             best = own.sort_values(["qid", "sim", "wid"], ascending=[True, False, False]).groupby("qid").head(n)
         if best is not None:
             yield best
 
-    parts = vectors.select("wid", "v").mapInPandas(run, "qid long, wid long, sim double")
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("wid"))
-    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return vectors.select("wid", "v").mapInPandas(run, "qid long, wid long, sim double")
+
+
+def most_similar(queries: DataFrame, own: DataFrame, others: DataFrame, n: int = 10, methods: tuple[str, ...] = ("U-U", "U-V", "V-U", "V-V", "U+V")) -> DataFrame:
+    """(method, qid, wid, sim, rank): the n nearest of `others` (wid, u, v) for each id of `queries` (qid) in `own`, by several methods side by side.
+
+    X-Y compares the X vector of the query's word with the Y vectors of the others; U+V the normalised sums of both. With `others`
+    of another language than `own` the methods are bilingual. Ids that `own` lacks have no rows.
+    """
+    side = {"U": F.col("u"), "V": F.col("v"), "U+V": combine("u", "v")}
+    asked = queries.join(own, queries["qid"] == own["wid"]).select("qid", "u", "v")
+    out = None
+    for method in methods:
+        left, right = ("U+V", "U+V") if method == "U+V" else method.split("-")
+        found = top_neighbours(asked.select("qid", side[left].alias("q")), others.select("wid", side[right].alias("v")), n).withColumn("method", F.lit(method))
+        out = found if out is None else out.unionByName(found)
+    return out.select("method", "qid", "wid", "sim", "rank")
 
 
 def sentence_vectors(tokens: DataFrame, vectors: DataFrame, weights: DataFrame, a: float = 0.001) -> DataFrame:
@@ -63,29 +99,48 @@ def branching_entropy(vocab: DataFrame, reverse: bool = False) -> DataFrame:
     return each.groupBy("lang", "prefix").agg((F.ln(F.sum("c")) - F.sum(F.col("c") * F.ln("c")) / F.sum("c")).alias("entropy"))
 
 
-def peak_subwords(word: str, forward: list[float], backward: list[float], known: set[str], least: int = 4) -> list[str]:
-    """Candidates of one word from the branching entropies after its prefixes and before its suffixes.
+def entropy_peaks(vocab: DataFrame, least: int = 4) -> DataFrame:
+    """(lang, tok, cut, side): where branching entropy peaks in the vocabulary's words (lang, tok) of `least` letters or more.
 
-    A boundary is where entropy rises and then falls. forward[i]: after the first i + 1 characters of
-    <word>; backward[i]: before the last len - 1 - i.
+    cut: letters of <word> before the place. side: "ahead" for the entropy after what stands before the cut, "behind" for the entropy,
+    read backwards, before what stands after it. A peak is above its neighbours on either side, to nine decimals. Two letters at
+    least, the mark among them, stand on either side of a cut.
+    """
+    bounded = F.concat(F.lit("<"), F.col("tok"), F.lit(">"))
+    words = vocab.filter(F.length("tok") >= least).select("lang", "tok", bounded.alias("w"))
+    cuts = words.select("lang", "tok", "w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("cut"))
+    sides = {"ahead": (F.expr("substring(w, 1, cut)"), False), "behind": (F.expr("reverse(substring(w, cut + 1))"), True)}
+    out = None
+    for side, (part, backwards) in sides.items():
+        entropy = branching_entropy(vocab, backwards).select("lang", "prefix", F.round(F.abs("entropy"), 9).alias("h"))
+        at = cuts.withColumn("prefix", part).join(entropy, ["lang", "prefix"])
+        order = Window.partitionBy("lang", "tok").orderBy("cut")
+        peak = at.withColumns({"before": F.lag("h").over(order), "after": F.lead("h").over(order), "n": F.length("w")}).filter((F.col("h") > F.col("before")) & (F.col("h") > F.col("after")))
+        found = peak.filter(F.col("cut").between(2, F.col("n") - 2)).select("lang", "tok", "cut", F.lit(side).alias("side"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def peak_subwords(vocab: DataFrame, least: int = 4) -> DataFrame:
+    """(lang, tok, sw): candidate subwords of the vocabulary's words (lang, tok), each once.
+
+    They are the word; what stands before or after a peak, with its mark and without, if the vocabulary has
+    it as a word of more than two letters; and, for each side's peaks, the pieces between them and each two
+    neighbours together, of more than two letters. <word> itself is none.
     """
-    if len(word) < least:
-        return []
-    w = f"<{word}>"
-    n = len(w)
-    ahead = [i for i in range(2, n - 2) if forward[i] > forward[i - 1] and forward[i + 1] < forward[i]]
-    behind = sorted(n - 1 - (i + 1) for i in range(2, n - 2) if backward[-(i + 1)] > backward[-i] and backward[-(i + 2)] < backward[-(i + 1)])
-    out = [word]
-    for i in sorted({*ahead, *behind}):
-        if i > 2 and word[:i] in known:
-            out += [w[: i + 1], w[1 : i + 1]]
-        if len(word[i:]) > 2 and word[i:] in known:
-            out += [w[i + 1 :], w[i + 1 : -1]]
-    for cuts in (ahead, behind):
-        pieces = [w[a:b] for a, b in zip([0, *[c + 1 for c in cuts]], [*[c + 1 for c in cuts], n], strict=True)]
-        out += [a + b for a, b in zip(pieces, pieces[1:], strict=False) if len(a + b) > 2]
-        out += [p for k, p in enumerate(pieces) if len(p) > 2 or k == len(pieces) - 1]
-    return [x for x in dict.fromkeys(out) if x != w]
+    words = vocab.filter(F.length("tok") >= least).select("lang", "tok")
+    peaks = entropy_peaks(vocab, least)
+    halves = peaks.select("lang", "tok", "cut").distinct().select(
+        "lang", "tok", F.explode(F.array(F.struct(F.expr("substring(tok, 1, cut - 1)").alias("part"), F.lit("<").alias("l"), F.lit("").alias("r")), F.struct(F.expr("substring(tok, cut)").alias("part"), F.lit("").alias("l"), F.lit(">").alias("r")))).alias("h")
+    ).select("lang", "tok", "h.*")
+    known = halves.filter(F.length("part") > 2).join(vocab.select("lang", F.col("tok").alias("part")).distinct(), ["lang", "part"], "left_semi")
+    named = known.select("lang", "tok", F.explode(F.array("part", F.concat("l", "part", "r"))).alias("sw"))
+    ends = peaks.groupBy("lang", "tok", "side").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    spans = ends.select("lang", "tok", F.concat(F.array(F.lit(0)), "cuts", F.array(F.length("tok") + 2)).alias("at"))
+    pair = lambda far: F.transform(F.sequence(F.lit(1), F.size("at") - far), lambda i: F.concat(F.lit("<"), F.col("tok"), F.lit(">")).substr(F.get("at", i - 1) + 1, F.get("at", i - 1 + far) - F.get("at", i - 1)))
+    pieces = spans.select("lang", "tok", F.explode(F.concat(pair(1), F.when(F.size("at") > 2, pair(2)).otherwise(F.array()))).alias("sw")).filter(F.length("sw") > 2)
+    every = words.withColumn("sw", F.col("tok")).unionByName(named).unionByName(pieces)
+    return every.filter(F.col("sw") != F.concat(F.lit("<"), "tok", F.lit(">"))).distinct()
 
 
 def encode(tokens: DataFrame, vocab: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:

@@ -169,3 +169,47 @@ def _(spark, d):
 @query("stream_vocab", f"WITH {_VOC} SELECT lang, tok, n FROM voc")
 def _(spark, d):
     return counts.run_available(spark, f"{d}/document[s].parquet", "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _peaks_sql(word: str, cut: str, side: str) -> str:
+    """Peaks of one side: entropies of prefixes of `word`, of which a place has those before and after it."""
+    rows = f"SELECT lang, tok, {word} AS w, unnest(range(1, length(tok) + 2)) AS k FROM voc"
+    h = f"SELECT lang, prefix, round(abs(ln(sum(c)) - sum(c * ln(c)) / sum(c)), 9) AS h FROM (SELECT lang, substr(w, 1, k) AS prefix, substr(w, k + 1, 1) AS nxt, count(*) AS c FROM ({rows}) GROUP BY ALL) GROUP BY lang, prefix"
+    at = f"SELECT r.lang, tok, k, length(w) AS n, h, lag(h) OVER o AS before, lead(h) OVER o AS after FROM ({rows}) r JOIN ({h}) e ON r.lang = e.lang AND substr(w, 1, k) = e.prefix WHERE length(tok) >= 4 WINDOW o AS (PARTITION BY r.lang, tok ORDER BY k)"
+    return f"SELECT lang, tok, CAST({cut} AS BIGINT) AS cut, '{side}' AS side FROM ({at}) WHERE h > before AND h > after AND {cut} BETWEEN 2 AND n - 2"
+
+
+@query("entropy_peaks", f"WITH {_VOC} {_peaks_sql("'<' || tok || '>'", 'k', 'ahead')} UNION ALL {_peaks_sql("reverse('<' || tok || '>')", 'n - k', 'behind')}")
+def _(spark, d):
+    return lexical.entropy_peaks(store(corpus.vocabulary(_docs(spark, d)), "vocab")).select("lang", "tok", _long("cut"), "side")
+
+
+_SPACES = f"m AS (SELECT vec_id AS wid, vec_id % 2 AS lang, {_E} AS u, list_reverse({_E}) AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(u, u)) AS nu FROM m), s AS (SELECT wid, lang, u, v, list_transform(range(1, len(u) + 1), lambda i: u[i] + v[i]) AS w FROM n)"
+_COSINES = "SELECT '{0}' AS method, a.wid AS qid, b.wid, list_cosine_similarity(a.{1}, b.{2}) AS sim FROM s a JOIN s b ON a.wid % 100 = 0 AND {3}"
+
+
+def _similar_sql(where: str) -> str:
+    each = " UNION ALL ".join(_COSINES.format(m, x, y, where) for m, x, y in (("U-U", "u", "u"), ("U-V", "u", "v"), ("V-U", "v", "u"), ("V-V", "v", "v"), ("U+V", "w", "w")))
+    return f"WITH {_SPACES} SELECT method, qid, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY method, qid ORDER BY sim DESC, wid DESC) AS rank FROM ({each})) WHERE rank <= 10"
+
+
+def _spaces(spark, d):
+    """The vectors as a model's two spaces: each, and the same read backwards."""
+    return _vectors(spark, d).select("wid", F.col("v").alias("u"), F.reverse("v").alias("v"))
+
+
+def _similar(m, own, others):
+    found = lexical.most_similar(m.filter("wid % 100 = 0").select(F.col("wid").alias("qid")), own, others)
+    return found.select("method", "qid", F.round("sim", 6).alias("sim"), _long("rank"))
+
+
+@query("most_similar_methods", _similar_sql("true"))
+def _(spark, d):
+    m = _spaces(spark, d)
+    return _similar(m, m, m)
+
+
+@query("bilingual_most_similar", _similar_sql("a.lang = 0 AND b.lang = 1"))
+def _(spark, d):
+    m = _spaces(spark, d)
+    return _similar(m, m.filter("wid % 2 = 0"), m.filter("wid % 2 = 1"))

@@ -137,9 +137,27 @@ def test_vectors_separate_planted_topics():
     assert s[0, 1] > s[0, 4] and s[3, 5] > s[2, 5]
 
 
-def test_entropy_peaks():
-    got = lexical.peak_subwords("unhappy", [0.1, 0.2, 0.9, 0.1, 0.1, 0.1, 0.1, 0.1], [0.1] * 8, {"happy"})
-    assert got[0] == "unhappy" and "<un" in got
+def test_entropy_peaks_and_subwords(spark):
+    # After "un", and before "able", many letters follow or stand.
+    words = [a + b for a in ("un", "re") for b in ("do", "tie", "fold", "happy", "able")] + ["do", "tie", "fold", "happy", "able", "doable", "foldable"]
+    vocab = spark.createDataFrame([("en", w) for w in words], "lang string, tok string")
+    cuts = {(r.tok, r.side, r.cut) for r in lexical.entropy_peaks(vocab).collect()}
+    assert ("unhappy", "ahead", 3) in cuts and ("foldable", "behind", 5) in cuts
+    found = {r.sw for r in lexical.peak_subwords(vocab).filter("tok = 'unhappy'").collect()}
+    assert {"unhappy", "happy", "happy>", "<un"} <= found and "<unhappy>" not in found
+    assert lexical.peak_subwords(vocab.limit(0)).count() == 0
+
+
+def test_neighbours_by_method_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=5).tolist(), rng.normal(size=5).tolist()) for i in range(30)] + [(30, [0.0] * 5, [0.0] * 5)]
+    m = spark.createDataFrame(rows, "wid long, u array<double>, v array<double>")
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    got = lexical.most_similar(m.filter("wid < 5 or wid = 30").select(F.col("wid").alias("qid")), m, m, 4, ("U-V", "U+V")).collect()
+    assert len(got) == 2 * 5 * 4 and all(r.wid != 30 for r in got)
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    want = sorted(((unit(rows[3][1]) @ unit(r[2]), r[0]) for r in rows[:30]), reverse=True)[:4]
+    assert [r.wid for r in sorted(got, key=lambda r: r["rank"]) if r.method == "U-V" and r.qid == 3] == [w for _, w in want]
 
 
 def test_models_round_trip_and_refuse_other_shapes(spark, tmp_path):
