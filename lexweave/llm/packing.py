@@ -37,27 +37,34 @@ STEPS, FALL, TAKE, LONG_FIRST = 2, 1.0, 0.5, 1.05
 #: Chunks whose ids a task remembers before it starts anew.
 REMEMBER = 1_000_000
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER = np.arange(256) < 0x80
+_OTHER &= ~_LETTER & ~SPACE
+
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
 class Chunks:
     """Ids of texts by the ids of their chunks.
 
-    A chunk begins at white space that follows something else. The tokenizer's words never run from
-    other characters into white space, nor do its special tokens (one with white space, or that takes white
-    space beside it, makes each text one chunk), so that chunks have the same ids alone as in the text; each
-    distinct one goes to the tokenizer once.
+    A chunk begins at white space that follows something else, and at any other character below 0x80 that is no letter and follows a
+    letter A-Z or a-z. The tokenizer's words never run across either, so that chunks have the same ids alone as in the
+    text; each distinct one goes to the tokenizer once. Special tokens may run across the second: texts
+    beside one are cut at white space alone. Where one has white space, or takes white space beside it, each
+    text is one chunk.
     """
 
     def __init__(self, path: str, special: bool = True):
-        """special: whether special tokens in texts have their ids, as in the plain call; else they are spelled."""
+        """special: whether special tokens in texts have their ids, as in the plain call; else they are spelled, and chunks are cut at white space alone."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        added = self.tokenizer.get_added_tokens_decoder().values() if special else []
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
         self.whole = any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)
+        self.fine, self.special = special, [t.content.encode() for t in added]
         marks = [t.content for t in added if t.special and not (t.single_word or t.normalized or self.whole)]
         self.mark = (marks[0], self.tokenizer.token_to_id(marks[0])) if marks else None
         self.forget()
@@ -89,10 +96,12 @@ class Chunks:
 
     def by_chunk(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks, how many each has, and the texts' first chunks."""
-        space = SPACE[data]
+        space, raw = SPACE[data], data.tobytes()
         opens = np.zeros(len(data), bool)
         if not self.whole:
             opens[1:] = space[1:] & ~space[:-1]
+            if self.fine and not any(t in raw for t in self.special):
+                opens[1:] |= _LETTER[data[:-1]] & _OTHER[data[1:]]
         opens[at[:-1][at[:-1] < len(data)]] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))[: len(starts)]
@@ -103,7 +112,6 @@ class Chunks:
         place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[place] != own) if len(self.keys) else np.arange(len(own))
         if len(new):
-            raw = data.tobytes()
             got, count = self._ids([raw[starts[i] : ends[i]].decode() for i in one[new]])
             begin = len(self.ids) + np.concatenate(([0], np.cumsum(count)[:-1]))
             self.ids = np.concatenate([self.ids, got])

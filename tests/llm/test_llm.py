@@ -163,11 +163,15 @@ def test_ids_are_those_of_the_plain_call():
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    rng, parts = random.Random(4), ["<|endoftext|>", " ", "  ", "\n", "a", "the", "'s", "1", "é", "\u00a0", "<|", "endoftext|>", "."]
+    rng, parts = random.Random(4), ["<|endoftext|>", " ", "  ", "\n", "a", "the", "'s", "1", "é", "\u00a0", "<|", "endoftext|>", ".", "don't", "A1-", "x'S"]
     texts = ["'sba<|endoftext|> 1a", *("".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(2000))]
     ids, at = packing.Chunks(packing.tokenizer_path()).encode(*common.as_bytes(pa.array(texts)))
     plain = Tokenizer.from_file(packing.tokenizer_path())
     assert all(ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts))
+    # Without special tokens in the same slice chunks are cut finer.
+    texts = [t.replace("<|endoftext|>", "") for t in texts]
+    ids, at = packing.Chunks(packing.tokenizer_path()).encode(*common.as_bytes(pa.array(texts)))
+    assert all(ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts))
 
 
 def test_lines_keep_one_of_each_group(spark, odd):
