@@ -15,7 +15,8 @@ lower case (with fewer words: the whole sequence). Two documents link at a Jacca
    inside a group that is joined already. Each set has a bitmap: every shingle flips one of its bits. Two
    bitmaps differ in at most as many bits as the sets do in shingles, so that no link is lost where pairs
    with more are dropped.
-4. Candidates are verified on the whole texts of both.
+4. Candidates are verified on the whole texts of both, which are read again from the input by id and hash of the text, so
+   that no second copy of all texts is stored. The input must give the same rows each time: store a costly one first.
 
 Null texts and texts without words have empty sets, link with nothing and stay alone. A null id is no
 smallest id unless all ids of the component are null. Repeated rows are copies. `one_of_each` keeps
@@ -94,7 +95,7 @@ def prefix(counts: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """`docs` (rid long, text string) with uid (of the row), sig (of the set; null if empty), n, matches, prefix and bitmap.
+    """For `docs` (rid, tid long, text string): uid (of the row), rid, tid, sig (of the set; null if empty), n, matches, prefix and bitmap.
 
     Row ids come from the task and its order of rows: the result must be stored before it is used twice.
     """
@@ -126,10 +127,10 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 else:
                     place.append(place[-1])
             flat = np.concatenate(cuts) if cuts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(count))), batch.column("rid"), batch.column("text"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64()), *[pa.array(x) for x in bitmaps(found, row, len(count)).T]], ["uid", "rid", "text", "sig", "n", "matches", "prefix", *BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(count))), batch.column("rid"), batch.column("tid"), pa.array(sigs, pa.binary()), pa.array(count, pa.int64()), pa.array(matches), list_column(signed(flat), np.array(place), pa.int64()), *[pa.array(x) for x in bitmaps(found, row, len(count)).T]], ["uid", "rid", "tid", "sig", "n", "matches", "prefix", *BITS])
             uid += len(count)
 
-    return mapped(docs, run, "uid long, rid long, text string, sig binary, n long, matches int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in BITS))
+    return mapped(docs, run, "uid long, rid long, tid long, sig binary, n long, matches int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def bitmaps(found: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -160,7 +161,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows (rid, tid, n, group) for docs (rid long, text string): tid the hash of the text, the size of the set and a number of the component, null for empty sets."""
-    rows = store(signatures(docs, width, percent), "jaccard")
+    named = docs.select("rid", F.xxhash64("text").alias("tid"), "text")
+    rows = store(signatures(named, width, percent), "jaccard")
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix", *BITS)])
     classes = store(classes, "classes")
     indexed = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9) + F.col("matches")
@@ -169,16 +171,18 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     def verify(pairs: DataFrame) -> DataFrame:
         # An id is a row's, so that no class of many copies meets in one task.
         # Stored, so that its size is known before the join: while it is small, no other text moves.
-        wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        texts = store(rows.select(F.col("uid").alias("id"), "text").join(at_hand(wanted), "id"), "texts")
+        asked = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        wanted = store(rows.select(F.col("uid").alias("id"), "rid", "tid").join(at_hand(asked), "id"), "wanted")
+        # Repeated rows have the same id and text: one of them is enough.
+        texts = store(named.join(at_hand(wanted), ["rid", "tid"]).groupBy("id").agg(F.first("text").alias("text")), "texts")
         out = verified(pairs, texts, width, percent)
-        discard(wanted, texts)
+        discard(asked, wanted, texts)
         return out
 
     most = lambda x, y: F.lit(100 - percent) * (x + y) / (100 + percent) + 1e-9
     final = linked(postings, classes.select("id", *BITS), verify, percent, True, most).withColumnsRenamed({"node": "id", "component": "group"})
     groups = classes.select("sig", "id").join(final, "id", "left").select("sig", F.coalesce("group", "id").alias("group"))
-    return rows.select("rid", F.xxhash64("text").alias("tid"), "sig", "n").join(groups, "sig", "left").select("rid", "tid", "n", "group")
+    return rows.select("rid", "tid", "sig", "n").join(groups, "sig", "left").select("rid", "tid", "n", "group")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
