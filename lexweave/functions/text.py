@@ -63,6 +63,9 @@ def replace_entities(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9A-Fa-f]{1,6});"), F.lit(1)))
     char = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
     text = F.aggregate(found, text, lambda s, h: F.replace(F.replace(s, F.concat(F.lit("&#x"), h, F.lit(";")), char(h)), F.concat(F.lit("&#X"), h, F.lit(";")), char(h)))
+    decimals = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
+    known = F.filter(decimals, lambda d: d.cast("int") <= 0x10FFFF)
+    text = F.aggregate(known, text, lambda s, d: F.replace(s, F.concat(F.lit("&#"), d, F.lit(";")), char(F.hex(d.cast("int")))))
     for name, to in sorted(ENTITIES.items(), key=lambda e: e[0] == "amp"):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(to))
     return text
@@ -74,6 +77,12 @@ def normalise_space(text: Column) -> Column:
     return text
 
 
+def year_of(name: Column) -> Column:
+    """The year in a file's name: its last four digits that stand alone, null without."""
+    found = F.regexp_extract_all(name, F.lit(r"(?<![0-9])[0-9]{4}(?![0-9])"), F.lit(0))
+    return F.try_element_at(found, F.lit(-1)).cast("int")
+
+
 def category(char: Column) -> Column:
     """0..13 for the listed Unicode categories, else 14."""
     out = F.lit(14)

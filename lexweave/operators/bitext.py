@@ -45,6 +45,46 @@ def individual_links(bis: DataFrame) -> DataFrame:
     return bis.select("pair_id", F.explode_outer(side("l1")).alias("s1"), side("l2").alias("r")).select("pair_id", "s1", F.explode_outer("r").alias("s2"))
 
 
+def with_texts(bis: DataFrame, segs: DataFrame, between: str = " ") -> DataFrame:
+    """`bis` with l1_text and l2_text: what its segments (pair_id, side 1 or 2, seg_no, text) say, in order.
+
+    Missing segments are left out, a null text is an empty one, and a side without segments is empty.
+    """
+
+    def side(k: int) -> DataFrame:
+        first = F.col(f"l{k}_start")
+        return bis.filter(F.col(f"l{k}_len") > 0).select("pair_id", "bis_no", F.lit(k).alias("side"), F.explode(F.sequence(first, first + F.col(f"l{k}_len") - 1)).alias("seg_no"))
+
+    def said(k: int):
+        own = F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("seg_no", "text"))))
+        return F.array_join(F.transform(own, lambda s: s["text"]), between).alias(f"l{k}_text")
+
+    texts = segs.select("pair_id", "side", "seg_no", F.coalesce("text", F.lit("")).alias("text"))
+    found = side(1).unionByName(side(2)).join(texts, ["pair_id", "side", "seg_no"]).groupBy("pair_id", "bis_no").agg(said(1), said(2))
+    return bis.join(found, ["pair_id", "bis_no"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("l1_text", "l2_text")})
+
+
+def one_to_one(l1: DataFrame, l2: DataFrame) -> DataFrame:
+    """Bisegments of each two segments (pair_id, seg_no) of the same number; what one side has more of stands alone."""
+    side = lambda x, k: x.select("pair_id", "seg_no", F.lit(1).alias(f"l{k}_len"))
+    both = side(l1, 1).join(side(l2, 2), ["pair_id", "seg_no"], "full")
+    part = lambda k: [F.when(F.col(f"l{k}_len") == 1, F.col("seg_no")).alias(f"l{k}_start"), F.coalesce(f"l{k}_len", F.lit(0)).alias(f"l{k}_len")]
+    return both.select("pair_id", F.col("seg_no").alias("bis_no"), *part(1), *part(2))
+
+
+def short_pairs(pairs: DataFrame, below: int = ANCHOR_CHARS, more_than: int = 3) -> DataFrame:
+    """(s1, s2, n): in how many documents a pair (doc, s1, s2) of texts below so many characters stands, if in more than `more_than`."""
+    short = pairs.filter((F.length("s1") < below) & (F.length("s2") < below))
+    each = short.select("doc", *[F.lower(F.trim(c)).alias(c) for c in ("s1", "s2")]).distinct()
+    return each.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter(F.col("n") > more_than)
+
+
+def translations(pairs: DataFrame) -> DataFrame:
+    """(s1, n, s2): of each text of (s1, s2, n) its partners, from the most frequent, ties by text, and how often it has any."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "s2")))
+    return pairs.groupBy("s1").agg(F.sum("n").alias("total"), F.transform(ranked, lambda x: x["s2"]).alias("all")).select("s1", F.col("total").alias("n"), F.col("all").alias("s2"))
+
+
 def precision_recall(gold: DataFrame, made: DataFrame) -> DataFrame:
     """One row: tp, n_gold, n_made, precision, recall, f1 of individual links; null sides are equal."""
     g, m = individual_links(gold).distinct(), individual_links(made).distinct()
@@ -184,6 +224,20 @@ def align_texts(t1: list[str], t2: list[str], nums1=None, nums2=None, exact: dic
     return out
 
 
+def anchor_totals(pairs: DataFrame, exact: dict | None = None, patterns: list | None = None) -> DataFrame:
+    """One row (pairs, anchors, partials): anchors of all pairs (pair_id, side, seg_no, text), and the gaps between them that are aligned alone."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg_no", kind="stable")
+        texts = [[t or "" for t in pdf[pdf["side"] == s]["text"]] for s in (1, 2)]
+        found = find_anchors(*texts, exact or {}, patterns or [])
+        ends = zip([(-1, -1), *found], [*found, (len(texts[0]), len(texts[1]))], strict=True)
+        return pd.DataFrame({"anchors": [len(found)], "partials": [sum(c - a > 1 or d - b > 1 for (a, b), (c, d) in ends)]})
+
+    each = pairs.groupBy("pair_id").applyInPandas(one, "anchors long, partials long")
+    return each.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("anchors"), F.lit(0)).alias("anchors"), F.coalesce(F.sum("partials"), F.lit(0)).alias("partials"))
+
+
 def align(pairs: DataFrame, numbering: bool = True, use_anchors: bool = True, exact: dict | None = None, patterns: list | None = None) -> DataFrame:
     """LINKS of segments (pair_id, side 1 or 2, seg_no, text). One pair of documents is one group."""
     rows = pairs.withColumn("nums", T.number_set(T.tokens(F.col("text"))))

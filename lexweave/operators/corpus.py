@@ -109,3 +109,20 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     counted = inside.groupBy(F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
     total = inside.agg(F.count("*").alias("total"))
     return counted.crossJoin(F.broadcast(total)).select("bin", "n", F.round(F.col("n") / (F.col("total") * width), 8).alias("density"))
+
+
+def fitted_counts(df: DataFrame, group: str, column: str, values: int) -> DataFrame:
+    """Of counts a group: how often a Poisson distribution of their mean expects 0, 1, ... (p0 ...), and the parameters of a gamma
+    and a negative binomial distribution of their mean and variance. The last are null where the variance is not above the mean."""
+    m = df.groupBy(group).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.var_samp(column).alias("var"))
+    mean, var = F.col("mean"), F.col("var")
+    expected = [F.round(F.col("n") * F.exp(k * F.ln(mean) - mean) / F.factorial(F.lit(k)), 6).alias(f"p{k}") for k in range(values)]
+    gamma = [F.round(F.try_divide(mean * mean, var), 6).alias("gamma_shape"), F.round(F.try_divide(var, mean), 6).alias("gamma_scale")]
+    wide = lambda c, n: F.round(F.when(var > mean, c), 6).alias(n)
+    return m.select(group, *expected, *gamma, wide(mean * mean / (var - mean), "nb_size"), wide(mean / var, "nb_p"))
+
+
+def exponential_fit(points: DataFrame) -> DataFrame:
+    """One row (a, b): y = a * exp(-b * x) over the points (x, y) with y above 0, by least squares of its logarithm."""
+    x, y = F.col("x").cast("double"), F.ln("y")
+    return points.filter("y > 0").agg(F.exp(F.regr_intercept(y, x)).alias("a"), (-F.regr_slope(y, x)).alias("b"))

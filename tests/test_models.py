@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexweave.operators import lexical, models
+from lexweave.functions import text as T
+from lexweave.operators import bitext, lexical, models
+from lexweave.sources import files
 from lexweave.streaming import counts
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +112,65 @@ def test_training_takes_all_documents_in_shards(spark):
         got = {r.wid: r for r in lexical.sgns_by_language(e, v, dim=4, epochs=epochs, tokens=1000).collect()}
         start, _, _ = lexical.train_sgns([], np.array([2400, 2400, 40, 40]), dim=4)
         assert sorted(got) == [0, 1, 2, 3] and all(np.abs(np.array(got[k].u) - start[k]).max() > 1e-3 for k in got)
+
+
+@pytest.mark.parametrize("name", ["bisegment_tokens", "one_to_one", "missing_names", "copied_identical", "transferred_models", "words_with_subwords", "count_fits"])
+def test_more_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = __spark_entry__.queries()[name](spark, SF)
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert text(got.select(names).collect()) == text(want.fetchall())
+
+
+def test_texts_of_bisegments(spark):
+    bis = spark.createDataFrame([(1, 1, 1, 2, 1, 1), (1, 2, None, 0, 2, 2), (2, 1, 1, 1, None, 0)], "pair_id long, bis_no int, l1_start int, l1_len int, l2_start int, l2_len int")
+    segs = spark.createDataFrame([(1, 1, 2, "b"), (1, 1, 1, "a"), (1, 2, 1, None), (1, 2, 3, "z")], "pair_id long, side int, seg_no int, text string")
+    got = {(r.pair_id, r.bis_no): (r.l1_text, r.l2_text) for r in bitext.with_texts(bis, segs).collect()}
+    assert got == {(1, 1): ("a b", ""), (1, 2): ("", "z"), (2, 1): ("", "")}
+
+
+def test_translations_by_frequency(spark):
+    rows = [(k, "Ja ", t) for k in range(5) for t in ("yes", "aye")] + [(k, "ja", "YES") for k in range(4, 7)] + [(0, "nein", "no"), (9, "x" * 80, "no"), (9, None, "no")]
+    pairs = bitext.short_pairs(spark.createDataFrame(rows, "doc long, s1 string, s2 string"))
+    assert [tuple(r) for r in bitext.translations(pairs).collect()] == [("ja", 12, ["yes", "aye"])]
+
+
+def test_saved_tables_refuse_damage(spark, tmp_path):
+    v = spark.createDataFrame([("a", 2), ("b", 1)], "tok string, n long")
+    files.save_vocabulary(v, str(tmp_path / "v"), {"lang": "en"})
+    assert files.load_vocabulary(spark, str(tmp_path / "v"))[1] == {"lang": "en", "types": 2, "tokens": 3}
+    v.limit(1).write.mode("overwrite").parquet(str(tmp_path / "v" / "words"))
+    with pytest.raises(ValueError):
+        files.load_vocabulary(spark, str(tmp_path / "v"))
+    c = spark.createDataFrame([(1, [0, 1]), (2, None)], "doc_id long, ids array<int>")
+    files.save_corpus(c, str(tmp_path / "c"), {}, 5)
+    assert files.load_corpus(spark, str(tmp_path / "c"), 5)[1]["tokens"] == 2
+    with pytest.raises(ValueError):
+        files.load_corpus(spark, str(tmp_path / "c"), 3)
+    (tmp_path / "names.json").write_text('["a_2004.xml", "b.xml"]')
+    names = files.read_file_list(spark, str(tmp_path / "names.json"))
+    assert [tuple(r) for r in names.select("file_name", T.year_of(F.col("file_name"))).orderBy("pos").collect()] == [("a_2004.xml", 2004), ("b.xml", None)]
+
+
+def test_transfer_refuses_other_shapes(spark):
+    m = spark.createDataFrame([("en", "a", 3, [1.0], [2.0])], "lang string, tok string, n long, u array<double>, v array<double>")
+    with pytest.raises(ValueError):
+        models.transfer_bilingual(m, m.withColumn("u", F.array(F.lit(1.0), F.lit(1.0))))
+    with pytest.raises(ValueError):
+        models.transfer_bilingual(m, m.withColumn("lang", F.lit("fr")))
+
+
+def test_bilingual_training_with_subwords(spark):
+    pairs = spark.createDataFrame([(i, [0, 1, 2], [2, 1, 0]) for i in range(8)], "pair_id long, source array<int>, target array<int>")
+    n = spark.createDataFrame([(s, i, t, 8) for s in (1, 2) for i, t in enumerate(["walking", "walked", "cat"])], "side int, wid long, tok string, n long")
+    out = models.sgns_bilingual(pairs, n, dim=4, window=2, subwords=True, least=2, epochs=2, tokens=20).collect()
+    assert {r.sw for r in out if r.direction == 1 and r.sw} == {"<wal", "walk", "<walk"} and sum(r.wid is not None for r in out) == 6
+
+
+def test_decimal_entities(spark):
+    row = spark.createDataFrame([("&#233;&#xe9;&#9999999;&amp;#65;",)], "t string").select(T.replace_entities(F.col("t"))).first()
+    assert row[0] == "éé&#9999999;&#65;"
