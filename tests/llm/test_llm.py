@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -454,6 +455,33 @@ def test_bit_parallel_edit_distance_by_brute_force():
         assert (edits.within([a] * 6, [b] * 6, most) == (d <= most)).all()
 
 
+def test_edit_distance_of_long_strings_in_mixed_packs():
+    """Blocks of 64 rows, strings that end at different steps, and pairs that are given up early."""
+    rng, rows = random.Random(4), []
+    for n in [1, 63, 64, 65, 127, 128, 129, 300] * 6:
+        a = "".join(rng.choice("abcdé ") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randrange(n // 3 + 2)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "b"])
+        b = "".join(b)[rng.choice([0, 0, n // 6]) :]
+        rows.append((a, b, round((1 - _alike(a, b)) * max(len(a), len(b), 1))))
+    for apart in (-1, 0, 7):
+        most = np.array([max(0, d + apart) for *_, d in rows])
+        want = np.array([d for *_, d in rows]) <= most
+        assert (edits.within([a for a, *_ in rows], [b for _, b, _ in rows], most) == want).all()
+
+
+def test_a_text_of_many_lines_is_cut_in_linear_time(spark):
+    """20,000 lines, every second of which goes: a split for each line would take minutes."""
+    table = spark.createDataFrame([(1, 2, "\n".join(f"line {k} of many that a long text has" for k in range(20000)))], "rid long, tid long, text string")
+    lost = spark.createDataFrame([(1, 2, list(range(0, 20000, 2)))], "rid long, tid long, gone array<int>")
+    began = time.time()
+    got = lines.without(table, lost).first()
+    assert time.time() - began < 30
+    assert got.text.split("\n") == [f"line {k} of many that a long text has" for k in range(1, 20000, 2)] and (got._n_lines, got._n_removed) == (20000, 10000)
+
+
 def test_set_bitmaps_never_differ_more_than_the_sets():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
