@@ -402,6 +402,20 @@ def test_toxicity_learns_from_labels_alone(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("score = 0").count() == 800
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Words that mark one text in 400, three texts each: a sample of 2,500 rows of a label would miss most of them."""
+    rows = [(i, f"w{i % 97} " * 4 + (f"bad{i // 400} " * 3 if i % 100 == 0 else ""), "en", int(i % 100 == 0)) for i in range(9000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], SCHEMA)
+    counted, inner = [], toxicity._round
+    try:
+        toxicity._round = lambda examples, *rest: (counted.append(examples.count()), inner(examples, *rest))[1]
+        model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"))
+    finally:
+        toxicity._round = inner
+    known = sum(zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows)
+    assert len(counted) == toxicity.ROUNDS and all(n > 0.77 * known for n in counted) and model.constant is None
+
+
 def test_html_on_unseen_layouts_and_odd_pages(spark):
     model, rng, right = html_text.train(), random.Random(5), 0
     for _ in range(100):
