@@ -18,9 +18,10 @@ tasks' weights are averaged by their subwords. Null and empty texts have an end
 held out. Repeated rows are scored alike, and count as often as they occur. Empty tables give no rows.
 Only doc_id and text of the input are used.
 
-Counts reach the texts by chunks: a chunk is some megabytes of texts of one task with its distinct words,
-so that a word travels once a chunk and no count table is broadcast. Texts and counts of a chunk meet in
-one task, and each moves once.
+Texts are read and tokenised once, in chunks: a chunk is some megabytes of texts of one task with its distinct words, each
+of which is spelled once. Its texts are kept as subword ids, for training and scoring, and as numbers of words. Counts
+reach them by chunks, so that a word travels once a chunk and no count table is broadcast. Texts and counts of
+a chunk meet in one task, and each moves once.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, discard, list_column, mapped, ragged, read, signed, slices, span_hash, store, words
+from .common import LOWER, SPACE, discard, mapped, ragged, read, signed, slices, span_hash, store, words
 from .packing import Chunks
 
 FOLDS, HELD = 7, 2
 TOKENIZER = "byte_bpe_50k.json"
 END, VOCABULARY = 50256, 50257
 CHUNK_BYTES = 1 << 22
+#: Subwords of texts that are windowed at once.
+PART = 1 << 17
 DIM, CLASSES, WINDOW, STRIDE = 8, 32, 16, 12
 EPOCHS, BATCH, RATE = 1, 128, 0.02
 #: Weight of a word's share of the training words.
@@ -50,25 +53,44 @@ COMMON = 16
 
 def spelled(data: np.ndarray, at: np.ndarray, chunks: Chunks) -> tuple[np.ndarray, ...]:
     """For lower-case bytes: word hashes of all texts; the words' first by text, ends counted; subword ids of all, ends too; the first subword of each."""
+    own, which, first, ids, begin = distinct(data, at, chunks)
+    flat, offsets = laid_out(which, first, ids, begin)
+    return own[which], first + np.arange(len(at)), flat, np.append(np.flatnonzero(_opens(which, first, np.diff(begin))), offsets[-1])
+
+
+def distinct(data: np.ndarray, at: np.ndarray, chunks: Chunks) -> tuple[np.ndarray, ...]:
+    """For lower-case bytes: hashes of the distinct words; which of them each word is; the words' first by text; the distinct words' subword ids, and the first of each."""
     starts, ends, first = words(data, at, SPACE)
-    length, n = ends - starts, len(at) - 1
-    # A blank and the word, text after text: the tokenizer's chunks are the words.
+    own, one, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    starts, length = starts[one], ends[one] - starts[one]
+    # A blank and the word, one after the other: the tokenizer's chunks are the words.
     plain = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
-    to = np.concatenate(([0], np.cumsum(length + 1)))
-    inner = ragged(np.zeros(len(length), np.int64), length)
-    plain[np.repeat(to[:-1] + 1, length) + inner] = data[np.repeat(starts, length) + inner]
+    plain[ragged(np.concatenate(([0], np.cumsum(length + 1)))[:-1] + 1, length)] = data[ragged(starts, length)]
     ids, count, _ = chunks.by_chunk(plain, np.array([0, len(plain)]))
-    place = first + np.arange(n + 1)  # an end for each text
+    return own, which, first, ids, np.concatenate(([0], np.cumsum(count)))
+
+
+def laid_out(which: np.ndarray, first: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of all texts, each followed by END, and the offsets of the texts. ids, begin: of the distinct words."""
+    count = np.diff(begin)[which]
+    offsets = np.concatenate(([0], np.cumsum(count)))[first] + np.arange(len(first))
+    flat = np.full(offsets[-1], END, np.uint16)
+    spot = np.ones(len(flat), bool)
+    spot[offsets[1:] - 1] = False
+    flat[spot] = ids[ragged(begin[which], count)]
+    return flat, offsets
+
+
+def _opens(which: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which subwords of all texts, ends too, are the first of a word or an end."""
+    place = first + np.arange(len(first))
     whole = np.ones(place[-1], np.int64)
     is_word = np.ones(place[-1], bool)
     is_word[place[1:] - 1] = False
-    whole[is_word] = count
-    begin = np.concatenate(([0], np.cumsum(whole)))
-    flat = np.full(begin[-1], END, np.int64)
-    spot = np.ones(len(flat), bool)
-    spot[begin[place[1:] - 1]] = False
-    flat[spot] = ids
-    return span_hash(data, starts, ends), place, flat, begin
+    whole[is_word] = count[which]
+    out = np.zeros(int(whole.sum()), bool)
+    out[np.cumsum(whole) - whole] = True
+    return out
 
 
 def word_starts(tokenizer: str) -> np.ndarray:
@@ -94,37 +116,56 @@ class Attention:
         self.inner = np.full(VOCABULARY, -np.log(VOCABULARY), np.float32)
         self.starting = np.zeros(CLASSES, np.float32)
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, dict]:
-        """x: windows of class ids (CLASSES: none before). Log probabilities of the next class at every place."""
-        p = self.p
-        e = p["embed"][x] + p["place"]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        a = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(DIM)) + self.mask
-        a = np.exp(a - a.max(-1, keepdims=True))
+    def forward(self, x: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+        """x: windows of class ids (CLASSES: none before). Log probabilities of the next class at every place, or at the flat places `keep` alone."""
+        z, state = self.logits(x, keep)
+        z -= np.log(np.exp(z).sum(-1, keepdims=True))
+        return z, state
+
+    def logits(self, x: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+        """As forward, before they are made to add to one; the largest of a place is 0."""
+        p, n = self.p, len(x)
+        # Rows of all windows in one product each: a product a window costs more in calls than in sums.
+        e = (p["embed"][x] + p["place"]).reshape(-1, DIM)
+        q, k, v = ((e @ p[c]).reshape(n, WINDOW, DIM) for c in "qkv")
+        q *= np.float32(1 / np.sqrt(DIM))
+        a = q @ k.transpose(0, 2, 1)
+        a += self.mask
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
-        h = np.concatenate([a @ v, e], -1)
-        z = h @ p["out"] + p["bias"]
+        h = np.empty((n * WINDOW, 2 * DIM), np.float32)
+        h[:, :DIM], h[:, DIM:] = (a @ v).reshape(-1, DIM), e
+        z = (h if keep is None else h[keep]) @ p["out"]
+        z += p["bias"]
         z -= z.max(-1, keepdims=True)
-        z -= np.log(np.exp(z).sum(-1, keepdims=True))
-        return z, {"x": x, "e": e, "q": q, "k": k, "v": v, "a": a, "h": h}
+        return (z.reshape(n, WINDOW, -1) if keep is None else z), {"x": x, "e": e, "q": q, "k": k, "v": v, "a": a, "h": h, "keep": keep}
 
     def backward(self, z: np.ndarray, s: dict, y: np.ndarray, weight: np.ndarray) -> dict:
-        p, dz = self.p, np.exp(z)
-        np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], -1) - 1, -1)
-        dz *= (weight / max(1.0, weight.sum()))[..., None]
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(s["h"]).T @ flat(dz), "bias": flat(dz).sum(0)}
+        """Gradients of the mean loss by weight. y, weight: as z, which forward gave with the state s."""
+        p, keep, n = self.p, s["keep"], len(s["x"])
+        dz, y, weight = np.exp(z).reshape(-1, z.shape[-1]), y.ravel(), weight.ravel()
+        dz[np.arange(len(y)), y] -= 1
+        dz *= (weight / max(1.0, weight.sum()))[:, None]
+        h = s["h"] if keep is None else s["h"][keep]
+        g = {"out": h.T @ dz, "bias": dz.sum(0)}
         dh = dz @ p["out"].T
-        mixed, de = dh[..., :DIM], dh[..., DIM:].copy()
+        if keep is not None:
+            whole = np.zeros_like(s["h"])
+            whole[keep] = dh
+            dh = whole
+        mixed, de = dh[:, :DIM].reshape(n, WINDOW, DIM), dh[:, DIM:].copy()
         da, dv = mixed @ s["v"].transpose(0, 2, 1), s["a"].transpose(0, 2, 1) @ mixed
-        ds = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True)) / np.float32(np.sqrt(DIM))
-        dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
+        da -= (da * s["a"]).sum(-1, keepdims=True)
+        da *= s["a"]
+        # q is held divided by the root of DIM.
+        dq, dk = da @ s["k"] * np.float32(1 / np.sqrt(DIM)), da.transpose(0, 2, 1) @ s["q"]
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(s["e"]).T @ flat(d)
+            d = d.reshape(-1, DIM)
+            g[name] = s["e"].T @ d
             de += d @ p[name].T
-        g["place"] = de.sum(0)
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], s["x"].ravel(), flat(de))
+        g["place"] = de.reshape(n, WINDOW, DIM).sum(0)
+        g["embed"] = (s["x"].reshape(1, -1) == np.arange(CLASSES + 1)[:, None]).astype(np.float32) @ de
         return g
 
     def set_classes(self, count: np.ndarray, near: np.ndarray, starts: np.ndarray, seed: int = 5) -> None:
@@ -143,8 +184,9 @@ class Attention:
             total += len(ids)
             for own in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
                 step += 1
-                z, state = self.forward(x[own])
-                for k, g in self.backward(z, state, y[own], new[own].astype(np.float32)).items():
+                keep = np.flatnonzero(new[own])
+                z, state = self.forward(x[own], keep)
+                for k, g in self.backward(z, state, y[own].ravel()[keep], np.ones(len(keep), np.float32)).items():
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
                     self.p[k] -= RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
@@ -153,14 +195,18 @@ class Attention:
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs for each subword of the texts ids[first[i]:first[i+1]], and of a word's beginning in its place."""
         out, begins = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
-        classes = self.classes[ids]
-        x, y, new, where = windows_of_all(classes, first)
+        x, y, new, where = windows_of_all(self.classes[ids], first)
+        # One product gives the sum of all classes and that of a word's beginning.
+        sums = np.stack([np.ones(CLASSES, np.float32), self.starting], 1)
         for a in range(0, len(x), BATCH):
-            z, _ = self.forward(x[a : a + BATCH])
-            got = np.take_along_axis(z, y[a : a + BATCH, :, None], -1)[..., 0]
-            keep = new[a : a + BATCH]
-            out[where[a : a + BATCH][keep]] = got[keep]
-            begins[where[a : a + BATCH][keep]] = np.log((np.exp(z) @ self.starting)[keep] + 1e-30)
+            keep = np.flatnonzero(new[a : a + BATCH])
+            z, _ = self.logits(x[a : a + BATCH], keep)
+            at = where[a : a + BATCH].ravel()[keep]
+            got = z[np.arange(len(keep)), y[a : a + BATCH].ravel()[keep]]
+            both = np.exp(z, out=z) @ sums
+            logs = np.log(both[:, 0])
+            out[at] = got - logs
+            begins[at] = np.log(both[:, 1] / both[:, 0] + 1e-30)
         return out + self.inner[ids], begins
 
     def word_log_probabilities(self, ids: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -224,25 +270,55 @@ def _cluster(near: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> n
     return out
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """Chunks: a row for every text (chunk, doc_id, held_out, text), and one with the chunk's words and their training counts."""
+_CHUNKS = "chunk long, doc_id long, held_out boolean, which binary, ids binary, words array<bigint>, counts array<bigint>"
+
+
+def prepared(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Chunks: a row for every text (chunk, doc_id, held_out, which, ids), and one with the chunk's distinct words and their training counts.
+
+    which: the text's words by their numbers among those, as bytes of 32 bits. ids: its subwords and END, of 16 bits. A
+    distinct word of a chunk is spelled once, and no text is tokenised a second time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k = TaskContext.get().partitionId(), 0
-        names = ["chunk", "doc_id", "held_out", "text", "words", "counts"]
+        task, k, spelling = TaskContext.get().partitionId(), 0, Chunks(tokenizer, special=False)
+        names = [c.split()[0] for c in _CHUNKS.split(", ")]
         longs = pa.list_(pa.int64())
         for batch, data, at in slices(batches, most=CHUNK_BYTES):
             chunk, k, n = (task << 32) + k, k + 1, batch.num_rows
-            starts, ends, first = words(low := LOWER[data], at, SPACE)
-            hashes = span_hash(low, starts, ends)
+            own, which, first, ids, begin = distinct(LOWER[data], at, spelling)
+            flat, offsets = laid_out(which, first, ids, begin)
             learn = ~np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            own, which = np.unique(hashes, return_inverse=True)
             counts = np.bincount(which[learn], minlength=len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("doc_id"), batch.column("held_out"), batch.column("text"), pa.nulls(n, longs), pa.nulls(n, longs)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("doc_id"), batch.column("held_out"), _packed(which.astype(np.uint32), first), _packed(flat, offsets), pa.nulls(n, longs), pa.nulls(n, longs)], names)
             lists = [pa.array([x], longs) for x in (signed(own), counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.string()), *lists], names)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], names)
+
+    return mapped(docs, run, _CHUNKS)
+
 
-    return mapped(docs, run, "chunk long, doc_id long, held_out boolean, text string, words array<bigint>, counts array<bigint>")
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """values[first[i] : first[i + 1]] as binaries."""
+    at = (first * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What _packed has taken."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return np.frombuffer(held[at[0] : at[-1]].tobytes(), kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def parts(first: np.ndarray, most: int = PART) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts with about `most` subwords. A longer text stands alone."""
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + most, "right")) - 1)
+        yield a, b
+        a = b
 
 
 def _tally(texts: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -264,26 +340,25 @@ def _tally(texts: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray
 def id_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Subword ids of the texts of a batch, and their offsets."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            column = batch.column("ids").slice(at, 500)
-            first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
-            yield column.flatten().to_numpy().astype(np.int64), first.astype(np.int64)
+        flat, first = unpacked(batch.column("ids"), np.uint16)
+        for a, b in parts(first):
+            yield flat[first[a] : first[b]].astype(np.int64), first[a : b + 1] - first[a]
 
 
 def fit(docs: DataFrame, tokenizer: str) -> Attention:
     """docs: (doc_id, held_out, text)."""
+    chunks = store(prepared(docs, tokenizer), "chunks")
+    model = learned(chunks, tokenizer)
+    discard(chunks)
+    return model
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizer, special=False)
-        for _, data, at in slices(batches):
-            _, first, flat, begin = spelled(LOWER[data], at, chunks)
-            yield pa.RecordBatch.from_arrays([list_column(flat, begin[first], pa.int32())], ["ids"])
 
-    texts = store(mapped(docs.filter("not held_out").select("text"), encode, "ids array<int>"), "subwords")
-    model, sc = Attention(), docs.sparkSession.sparkContext
+def learned(chunks: DataFrame, tokenizer: str) -> Attention:
+    """From the training texts of what `prepared` gives."""
+    texts = chunks.filter("words is null and not held_out").select("ids")
+    model, sc = Attention(), chunks.sparkSession.sparkContext
     count = _tally(texts, lambda ids, first: ids, VOCABULARY)
     if not count.any():
-        discard(texts)
         return model
     near = _tally(texts, lambda ids, first: neighbours(ids, first, count), VOCABULARY * 2 * COMMON).reshape(-1, 2 * COMMON).astype(np.float32)
     model.set_classes(count, near, word_starts(tokenizer))
@@ -304,7 +379,6 @@ def fit(docs: DataFrame, tokenizer: str) -> Attention:
         ends = np.cumsum([v.size for v in model.p.values()])
         model.p = {k: flat[e - v.size : e].reshape(v.shape).astype(np.float32) for (k, v), e in zip(model.p.items(), ends, strict=True)}
         shared.unpersist()
-    discard(texts)
     return model
 
 
@@ -312,42 +386,48 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id long, text string)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
     docs = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    model = fit(docs, tokenizer)
-    chunks = store(prepared(docs), "chunks")
+    chunks = store(prepared(docs, tokenizer), "chunks")
+    model = learned(chunks, tokenizer)
+    opens = word_starts(tokenizer)
     tables = chunks.filter("words is not null")
-    pairs = tables.select("chunk", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("chunk", F.col("w.words").alias("h"), F.col("w.counts").alias("n"))
+    pairs = tables.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("chunk", "i", F.col("w.words").alias("h"), F.col("w.counts").alias("n"))
     counts = store(pairs.filter("n > 0").groupBy("h").agg(F.sum("n").alias("c")), "counts")
-    ends = docs.filter("not held_out").count()
+    ends = chunks.filter("words is null and not held_out").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
+    total, distinct_ = sums["n"] + ends, sums["v"] + (ends > 0)
     # Of a chunk each word goes once: the hottest word has one row a chunk.
-    known = pairs.select(F.col("chunk").alias("at"), "h").join(counts, "h").select("at", "h", "c")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = pairs.select(F.col("chunk").alias("at"), "i", "h").join(counts, "h").select("at", "i", "c")
+    shared = docs.sparkSession.sparkContext.broadcast((model, opens))
 
     def run(key: tuple, texts: pa.Table, asked: pa.Table) -> pa.Table:
-        own_model, chunks_ = shared.value, Chunks(tokenizer, special=False)
-        keys, values = asked.column("h").to_numpy().view(np.uint64), asked.column("c").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        own_model, opens_ = shared.value
         out = []
-        for batch, data, at in slices(iter(texts.combine_chunks().to_batches())):
-            hashes, first, flat, begin = spelled(LOWER[data], at, chunks_)
-            c = np.full(first[-1], ends, np.float64)
-            is_word = np.ones(first[-1], bool)
-            is_word[first[1:] - 1] = False
-            place = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-            c[is_word] = np.where(keys[place] == hashes, values[place], 0) if len(keys) else 0
-            base = np.log10((c + 1) / (total + distinct + 1))
-            model_ = own_model.word_log_probabilities(flat, first, begin)
-            mixed = np.log10(COUNTS * c / max(1, total) + (1 - COUNTS) * np.exp(model_) + 1e-300)
-            # Words too long for a double keep their logs.
-            mixed = np.where(mixed < -290, model_ / np.log(10) + np.log10(1 - COUNTS), mixed)
-            sums = [np.add.reduceat(x, first[:-1]) for x in (c > 0, base, mixed)]
-            out.append(pa.table([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(batch.num_rows, total)), pa.array(sums[1]), pa.array(sums[2])], names))
+        for batch in texts.combine_chunks().to_batches():
+            which, first_word = unpacked(batch.column("which"), np.uint32)
+            flat, first_id = unpacked(batch.column("ids"), np.uint16)
+            counted = np.zeros(int(which.max()) + 1 if len(which) else 0)
+            place = asked.column("i").to_numpy()
+            inside = place < len(counted)
+            counted[place[inside]] = asked.column("c").to_numpy()[inside]
+            for a, b in parts(first_id):
+                ids = flat[first_id[a] : first_id[b]].astype(np.int64)
+                first = first_word[a : b + 1] - first_word[a] + np.arange(b - a + 1)  # an end for each text
+                c = np.full(first[-1], ends, np.float64)
+                is_word = np.ones(first[-1], bool)
+                is_word[first[1:] - 1] = False
+                c[is_word] = counted[which[first_word[a] : first_word[b]]]
+                base = np.log10((c + 1) / (total + distinct_ + 1))
+                model_ = own_model.word_log_probabilities(ids, first, np.append(np.flatnonzero(opens_[ids]), len(ids)))
+                mixed = np.log10(COUNTS * c / max(1, total) + (1 - COUNTS) * np.exp(model_) + 1e-300)
+                # Words too long for a double keep their logs.
+                mixed = np.where(mixed < -290, model_ / np.log(10) + np.log10(1 - COUNTS), mixed)
+                sums = [np.add.reduceat(x, first[:-1]) for x in (c > 0, base, mixed)]
+                rows = batch.slice(a, b - a)
+                out.append(pa.table([rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(b - a, total)), pa.array(sums[1]), pa.array(sums[2])], names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    texts = chunks.filter("words is null").select(F.col("chunk").alias("own"), "doc_id", "held_out", "text")
+    texts = chunks.filter("words is null").select(F.col("chunk").alias("own"), "doc_id", "held_out", "which", "ids")
     return texts.groupBy("own").cogroup(known.groupBy("at")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

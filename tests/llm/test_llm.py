@@ -389,6 +389,25 @@ def test_word_masses_of_the_language_model_add_to_one():
     assert 0.9 < sums <= 1.0 + 1e-4
 
 
+def test_language_model_spells_a_word_once_in_a_chunk_and_keeps_no_text(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = str(public_tokenizers.path(attention_lm.TOKENIZER))
+    spelling, asked = packing.Chunks(path, special=False), []
+    spelling.by_chunk = lambda data, at, own=spelling.by_chunk: (asked.append(data.tobytes()), own(data, at))[1]
+    texts = ["Sun rain\tsun", "", "rain\u00a0 \u00e9t\u00e9 Sun", "sun"]
+    hashes, first, flat, begin = attention_lm.spelled(common.LOWER[common.as_bytes(pa.array(texts))[0]], common.as_bytes(pa.array(texts))[1], spelling)
+    assert sorted(asked[0].decode().split(" ")) == sorted(["", "rain", "rain\u00a0", "sun", "\u00e9t\u00e9"])
+    assert len(hashes) == 7 and len(flat) == begin[-1] and attention_lm.word_starts(path)[flat[begin[:-1]]].all()
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1)
+    got = attention_lm.prepared(rows, path)
+    assert "text" not in got.columns
+    kept = got.filter("words is null").orderBy("doc_id").collect()
+    want = np.split(flat, begin[first][1:-1])
+    assert [np.frombuffer(r.ids, np.uint16).tolist() for r in kept] == [x.tolist() for x in want]
+
+
 def test_toxicity_learns_from_labels_alone(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["the", "of", "sun", "rain", f"w{rng.randrange(500)}"]) for _ in range(40)) + (" scoundrels " if i % 4 == 0 else ""), rng.choice(["en", "de"]), int(i % 4 == 0)) for i in range(800)]
