@@ -1,9 +1,11 @@
 """LM scoring by a causal self-attention model trained in NumPy on subword ids.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text, A-Z in lower case; each is followed by the next, and the last by
-an end. A word's subwords are those of a public tokenizer for a blank and the word. The model predicts
-the class of each subword from the ones before it by one layer of masked attention, and the subword
-within its class by its smoothed frequency. Texts are cut into windows of WINDOW subwords that overlap
+an end. A word's subwords are those of a public tokenizer for a blank and the word. One layer of masked attention
+over the subwords before (each has a vector of its own, besides its class's) gives the class of the next one
+by a softmax, and the subword within its class by a hierarchical one: a Huffman tree over the class, each turn of
+which has weights over what attention gives, and starts from the frequencies. A class holds beginnings of words alone, or none.
+Texts are cut into windows of WINDOW subwords that overlap
 by WINDOW - STRIDE, so that each subword is scored once, with that many before it at least (but for the
 start).
 
@@ -14,7 +16,7 @@ former alone. Without training words nothing has a share, and the model is as it
 
 Corpus counts, subword counts, classes and the attention weights cover all training documents. The weights
 are trained in EPOCHS passes: every task goes once over its own documents from the same weights, and the
-tasks' weights are averaged by their subwords. Null and empty texts have an end alone. Null ids are not
+tasks' weights are averaged by their subwords, those of one subword or turn by how often a task met it. Null and empty texts have an end alone. Null ids are not
 held out. Repeated rows are scored alike, and count as often as they occur. Empty tables give no rows.
 Only doc_id and text of the input are used.
 
@@ -26,6 +28,8 @@ a chunk meet in one task, and each moves once.
 
 from __future__ import annotations
 
+import copy
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +53,8 @@ EPOCHS, BATCH, RATE = 1, 128, 0.02
 COUNTS = 0.5
 #: Subwords are clustered by how often the commonest ones stand right before and after them.
 COMMON = 16
+#: Rate of the vectors of subwords and turns.
+ROW_RATE = 0.1
 
 
 def spelled(data: np.ndarray, at: np.ndarray, chunks: Chunks) -> tuple[np.ndarray, ...]:
@@ -115,18 +121,25 @@ class Attention:
         self.classes = np.zeros(VOCABULARY, np.int64)
         self.inner = np.full(VOCABULARY, -np.log(VOCABULARY), np.float32)
         self.starting = np.zeros(CLASSES, np.float32)
-
-    def forward(self, x: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
-        """x: windows of class ids (CLASSES: none before). Log probabilities of the next class at every place, or at the flat places `keep` alone."""
-        z, state = self.logits(x, keep)
+        # Vectors of the subwords before (VOCABULARY: none), and of the turns in the classes' trees.
+        self.rows = {"before": np.zeros((VOCABULARY + 1, DIM), np.float32), "turns": np.zeros((VOCABULARY, 2 * DIM), np.float32)}
+        # The turns to each subword: its first, then of each the number, the side (1, -1), and what it is worth without context.
+        self.path, self.turn, self.side, self.alone = np.zeros(VOCABULARY + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
+
+    def forward(self, x: np.ndarray, keep: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+        """x: windows of class ids (CLASSES: none before), of the subwords `ids`, if given. Log probabilities of the next class at every place, or at the flat places `keep` alone."""
+        z, state = self.logits(x, keep, ids)
         z -= np.log(np.exp(z).sum(-1, keepdims=True))
         return z, state
 
-    def logits(self, x: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    def logits(self, x: np.ndarray, keep: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
         """As forward, before they are made to add to one; the largest of a place is 0."""
         p, n = self.p, len(x)
         # Rows of all windows in one product each: a product a window costs more in calls than in sums.
-        e = (p["embed"][x] + p["place"]).reshape(-1, DIM)
+        e = p["embed"].take(x, 0) + p["place"]
+        if ids is not None:
+            e += self.rows["before"].take(ids, 0)
+        e = e.reshape(-1, DIM)
         q, k, v = ((e @ p[c]).reshape(n, WINDOW, DIM) for c in "qkv")
         q *= np.float32(1 / np.sqrt(DIM))
         a = q @ k.transpose(0, 2, 1)
@@ -136,20 +149,22 @@ class Attention:
         a /= a.sum(-1, keepdims=True)
         h = np.empty((n * WINDOW, 2 * DIM), np.float32)
         h[:, :DIM], h[:, DIM:] = (a @ v).reshape(-1, DIM), e
-        z = (h if keep is None else h[keep]) @ p["out"]
+        kept = h if keep is None else h.take(keep, 0)
+        z = kept @ p["out"]
         z += p["bias"]
         z -= z.max(-1, keepdims=True)
-        return (z.reshape(n, WINDOW, -1) if keep is None else z), {"x": x, "e": e, "q": q, "k": k, "v": v, "a": a, "h": h, "keep": keep}
+        return (z.reshape(n, WINDOW, -1) if keep is None else z), {"x": x, "e": e, "q": q, "k": k, "v": v, "a": a, "h": h, "keep": keep, "kept": kept}
 
-    def backward(self, z: np.ndarray, s: dict, y: np.ndarray, weight: np.ndarray) -> dict:
-        """Gradients of the mean loss by weight. y, weight: as z, which forward gave with the state s."""
+    def backward(self, z: np.ndarray, s: dict, y: np.ndarray, weight: np.ndarray, more: np.ndarray | None = None) -> dict:
+        """Gradients of the mean loss by weight. y, weight: as z, which forward gave with the state s, where those of its inputs are left. more: what else depends on s["kept"]."""
         p, keep, n = self.p, s["keep"], len(s["x"])
         dz, y, weight = np.exp(z).reshape(-1, z.shape[-1]), y.ravel(), weight.ravel()
         dz[np.arange(len(y)), y] -= 1
         dz *= (weight / max(1.0, weight.sum()))[:, None]
-        h = s["h"] if keep is None else s["h"][keep]
-        g = {"out": h.T @ dz, "bias": dz.sum(0)}
+        g = {"out": s["kept"].T @ dz, "bias": dz.sum(0)}
         dh = dz @ p["out"].T
+        if more is not None:
+            dh += more
         if keep is not None:
             whole = np.zeros_like(s["h"])
             whole[keep] = dh
@@ -166,46 +181,87 @@ class Attention:
             de += d @ p[name].T
         g["place"] = de.reshape(n, WINDOW, DIM).sum(0)
         g["embed"] = (s["x"].reshape(1, -1) == np.arange(CLASSES + 1)[:, None]).astype(np.float32) @ de
+        s["inputs"] = de
         return g
 
+    def turns(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in `turn` of all turns to the subwords, and how many each has."""
+        count = self.path[ids + 1] - self.path[ids]
+        return ragged(self.path[ids], count), count
+
+    def within(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural logs of the subwords' probabilities in their classes, less those without context, for rows of what attention gives."""
+        at, count = self.turns(ids)
+        u = np.einsum("ij,ij->i", np.repeat(h, count, 0), self.rows["turns"].take(self.turn[at], 0)) * self.side[at] + self.alone[at]
+        return np.bincount(np.repeat(np.arange(len(ids)), count), _log_sigmoid(u) - _log_sigmoid(self.alone[at]), len(ids))
+
     def set_classes(self, count: np.ndarray, near: np.ndarray, starts: np.ndarray, seed: int = 5) -> None:
         """Classes and frequencies within them, from the subwords' counts and those of their neighbours. starts: which begin a word."""
-        self.classes = _cluster(near, count, np.random.default_rng(seed))
+        self.classes = _cluster(near, count, starts, np.random.default_rng(seed))
         smooth = count + 0.01
         self.starting = (np.bincount(self.classes, smooth * starts, CLASSES) / np.maximum(np.bincount(self.classes, smooth, CLASSES), 1e-12)).astype(np.float32)
         self.inner = np.log(smooth / np.bincount(self.classes, smooth, CLASSES)[self.classes]).astype(np.float32)
+        self.path, self.turn, self.side, self.alone = _trees(self.classes, smooth)
 
-    def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int = 5) -> int:
-        """One pass of Adam over texts, batches of (ids, first). Returns the number of subwords."""
+    def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int = 5) -> tuple[int, dict]:
+        """One pass over texts, batches of (ids, first): Adam, and Adagrad by rows of the vectors. Returns the number of subwords, and how often each row was met."""
         rng, total = np.random.default_rng(seed), 0
         mean, square, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        spent, met = ({k: np.full(len(v), start, np.float32) for k, v in self.rows.items()} for start in (1, 0))
+        classes = np.append(self.classes, CLASSES)
+
+        def descend(k: str, own: np.ndarray, grads: np.ndarray) -> None:
+            order = np.argsort(own.astype(np.uint16), kind="stable")
+            own = own[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            if len(first):
+                group = np.empty(len(order), np.int64)
+                group[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+                sums, own = _row_sums(grads, group, len(first)), own[first]
+                spent[k][own] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+                met[k][own] += np.diff(first, append=len(order))
+                self.rows[k][own] -= ROW_RATE * sums / np.sqrt(spent[k][own])[:, None]
+
         for ids, first in batches:
-            x, y, new, _ = windows_of_all(self.classes[ids], first)
+            x, y, new, _ = windows_of_all(ids, first, VOCABULARY)
             total += len(ids)
             for own in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
                 step += 1
-                keep = np.flatnonzero(new[own])
-                z, state = self.forward(x[own], keep)
-                for k, g in self.backward(z, state, y[own].ravel()[keep], np.ones(len(keep), np.float32)).items():
+                before, keep = x[own], np.flatnonzero(new[own])
+                z, state = self.forward(classes[before], keep, before)
+                wanted, n = y[own].ravel()[keep], np.float32(max(1, len(keep)))
+                at, count = self.turns(wanted)
+                turn, h = self.turn[at], np.repeat(state["kept"], count, 0)
+                vectors = self.rows["turns"].take(turn, 0)
+                u = np.einsum("ij,ij->i", h, vectors) * self.side[at] + self.alone[at]
+                off = (-self.side[at] / (1 + np.exp(np.minimum(u, 60))))[:, None]
+                vectors *= off
+                more = _row_sums(vectors, np.repeat(np.arange(len(wanted)), count), len(wanted))
+                h *= off
+                for k, g in self.backward(z, state, classes[wanted], np.ones(len(keep), np.float32), more / n).items():
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
                     self.p[k] -= RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-        return total
+                descend("turns", turn, h)
+                descend("before", before.ravel(), state["inputs"] * n)
+        return total, met
 
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs for each subword of the texts ids[first[i]:first[i+1]], and of a word's beginning in its place."""
         out, begins = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
-        x, y, new, where = windows_of_all(self.classes[ids], first)
+        x, y, new, where = windows_of_all(ids, first, VOCABULARY)
+        classes = np.append(self.classes, CLASSES)
         # One product gives the sum of all classes and that of a word's beginning.
         sums = np.stack([np.ones(CLASSES, np.float32), self.starting], 1)
         for a in range(0, len(x), BATCH):
-            keep = np.flatnonzero(new[a : a + BATCH])
-            z, _ = self.logits(x[a : a + BATCH], keep)
+            before, keep = x[a : a + BATCH], np.flatnonzero(new[a : a + BATCH])
+            z, state = self.logits(classes[before], keep, before)
+            wanted = y[a : a + BATCH].ravel()[keep]
             at = where[a : a + BATCH].ravel()[keep]
-            got = z[np.arange(len(keep)), y[a : a + BATCH].ravel()[keep]]
+            got = z[np.arange(len(keep)), classes[wanted]]
             both = np.exp(z, out=z) @ sums
             logs = np.log(both[:, 0])
-            out[at] = got - logs
+            out[at] = got - logs + self.within(state["kept"], wanted)
             begins[at] = np.log(both[:, 1] / both[:, 0] + 1e-30)
         return out + self.inner[ids], begins
 
@@ -219,8 +275,45 @@ class Attention:
         return out
 
 
-def windows_of_all(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows over all texts: inputs, targets, which targets this window scores, and where they are.
+def _row_sums(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of n groups."""
+    width = x.shape[1]
+    at = (group[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, x.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
+def _log_sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
+
+
+def _trees(classes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A Huffman tree for each class, as Attention has them: path, turn, side, alone."""
+    n, turns = len(classes), 0
+    above, side, odds = np.full(2 * n, -1), np.zeros(2 * n, np.float32), np.zeros(2 * n)
+    order = np.argsort(classes, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(classes[order])) + 1):
+        heap = list(zip(weight[own].tolist(), own.tolist(), strict=True))
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (u, a), (v, b) = heapq.heappop(heap), heapq.heappop(heap)
+            above[a] = above[b] = turns
+            side[a], side[b], odds[a], odds[b] = 1, -1, np.log(u / v), np.log(v / u)
+            heapq.heappush(heap, (u + v, n + turns))
+            turns += 1
+    at, leaf, found = np.arange(n), np.arange(n), []
+    while len(at := at[(up := above[at] >= 0)]):
+        leaf = leaf[up]
+        found.append((leaf, above[at], side[at], odds[at]))
+        at = n + above[at]
+    if not found:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
+    leaf, turn, sides, alone = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(leaf, kind="stable")
+    return np.searchsorted(leaf[order], np.arange(n + 1)), turn[order].astype(np.int32), sides[order], alone[order].astype(np.float32)
+
+
+def windows_of_all(classes: np.ndarray, first: np.ndarray, none: int = CLASSES) -> tuple[np.ndarray, ...]:
+    """Windows over all texts: inputs (`none`: none before), targets, which targets this window scores, and where they are.
 
     Window j of a text covers the targets from j * STRIDE on; all but the first window score the last STRIDE only.
     """
@@ -232,7 +325,7 @@ def windows_of_all(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     inside = place < length[text][:, None]
     where = np.minimum(first[text][:, None] + place, max(0, len(classes) - 1))
     y = classes[where]
-    x = np.where(place == 0, CLASSES, classes[np.maximum(where - 1, 0)])
+    x = np.where(place == 0, none, classes[np.maximum(where - 1, 0)])
     new = inside & ((start == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
     return x, y, new, where
 
@@ -254,20 +347,34 @@ def neighbours(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndar
     return np.concatenate([left[after] * 2 * COMMON + column[right[after]], right[before] * 2 * COMMON + COMMON + column[left[before]]])
 
 
-def _cluster(near: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Classes of subwords with like neighbours, by k-means on their counts beside the commonest ones; subwords not seen share the last."""
-    seen = np.flatnonzero(count)
-    x = np.sqrt((near[seen] + 0.02) / (near[seen] + 0.02).sum(1, keepdims=True))
-    weight = np.sqrt(count[seen])
-    centre = x[rng.choice(len(seen), CLASSES - 1, replace=len(seen) < CLASSES, p=weight / weight.sum())]
+def _cluster(near: np.ndarray, count: np.ndarray, starts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Classes of subwords with like neighbours, by k-means on their counts beside the commonest ones, apart for those that begin words.
+
+    Of those not seen, the ones that begin words join the likeliest class of such, and the others share the last.
+    """
+    out, base = np.full(VOCABULARY, CLASSES - 1), 0
+    share = np.sqrt(count[starts]).sum() / np.sqrt(count).sum()
+    first = int(np.clip(round(share * (CLASSES - 1)), 1, CLASSES - 2))
+    for own_starts, number in ((starts, first), (~starts, CLASSES - 1 - first)):
+        seen = np.flatnonzero((count > 0) & own_starts)
+        if len(seen):
+            out[seen] = base + _means(near[seen], count[seen], number, rng)
+        if not base:
+            out[np.flatnonzero((count == 0) & starts)] = np.bincount(out[seen], count[seen], 1)[:number].argmax()
+        base += number
+    return out
+
+
+def _means(near: np.ndarray, count: np.ndarray, number: int, rng: np.random.Generator) -> np.ndarray:
+    x = np.sqrt((near + 0.02) / (near + 0.02).sum(1, keepdims=True))
+    weight = np.sqrt(count)
+    centre = x[rng.choice(len(x), number, replace=len(x) < number, p=weight / weight.sum())]
     for _ in range(12):
         which = (x @ centre.T - (centre**2).sum(1) / 2).argmax(1)
-        for c in range(CLASSES - 1):
+        for c in range(number):
             if (own := which == c).any():
                 centre[c] = np.average(x[own], axis=0, weights=weight[own])
-    out = np.full(VOCABULARY, CLASSES - 1)
-    out[seen] = which
-    return out
+    return which
 
 
 _CHUNKS = "chunk long, doc_id long, held_out boolean, which binary, ids binary, words array<bigint>, counts array<bigint>"
@@ -366,22 +473,45 @@ def learned(chunks: DataFrame, tokenizer: str) -> Attention:
         shared = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch: int = epoch) -> Iterator[pa.RecordBatch]:
-            own = Attention()
-            own.p, own.classes = {k: v.copy() for k, v in shared.value.p.items()}, shared.value.classes
-            total = own.learn(id_batches(batches), 5 + epoch)
-            flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64)
-            if total:
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(flat)), pa.int32()), "x": pa.array(flat * total), "n": pa.array(np.full(len(flat), float(total)))})
-
-        got = mapped(texts, run, "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
-        flat = np.zeros(got.num_rows)
-        flat[got.column("k").to_numpy()] = got.column("x").to_numpy()
-        ends = np.cumsum([v.size for v in model.p.values()])
-        model.p = {k: flat[e - v.size : e].reshape(v.shape).astype(np.float32) for (k, v), e in zip(model.p.items(), ends, strict=True)}
+            own = copy.copy(shared.value)
+            own.p, own.rows = ({k: v.copy() for k, v in x.items()} for x in (own.p, own.rows))
+            total, met = own.learn(id_batches(batches), 5 + epoch)
+            for k, n, x in _weights(own, total, met) if total else ():
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.float64()), *[pa.array(c, pa.float32()) for c in x.T]], ["k", "n", *held])
+
+        held = [f"x{i}" for i in range(2 * DIM)]
+        got = mapped(texts, run, "k int, n double, " + ", ".join(f"{c} float" for c in held)).groupBy("k").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in held]).toArrow()
+        _take(model, got.column("k").to_numpy(), np.stack([got.column(c).to_numpy() for c in held], 1))
         shared.unpersist()
     return model
 
 
+def _weights(model: Attention, total: int, met: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers, weights and values of the rows of 2 * DIM that make up the model; vectors that were not met are left out."""
+    flat = np.concatenate([v.ravel() for v in model.p.values()])
+    flat = np.pad(flat, (0, -len(flat) % (2 * DIM))).reshape(-1, 2 * DIM)
+    yield np.arange(len(flat)), np.full(len(flat), float(total)), flat
+    base = len(flat)
+    for k, v in model.rows.items():
+        own = np.flatnonzero(met[k])
+        yield base + own, met[k][own], np.pad(v[own], ((0, 0), (0, 2 * DIM - v.shape[1])))
+        base += len(v)
+
+
+def _take(model: Attention, k: np.ndarray, x: np.ndarray) -> None:
+    """Rows of _weights into the model."""
+    sizes = [v.size for v in model.p.values()]
+    flat = np.zeros((-(-sum(sizes) // (2 * DIM)), 2 * DIM))
+    flat[k[k < len(flat)]] = x[k < len(flat)]
+    ends = np.cumsum(sizes)
+    model.p = {c: flat.ravel()[e - v.size : e].reshape(v.shape).astype(np.float32) for (c, v), e in zip(model.p.items(), ends, strict=True)}
+    base = len(flat)
+    for v in model.rows.values():
+        own = (k >= base) & (k < base + len(v))
+        v[k[own] - base] = x[own, : v.shape[1]]
+        base += len(v)
+
+
 def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id long, text string)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))

@@ -389,6 +389,39 @@ def test_word_masses_of_the_language_model_add_to_one():
     assert 0.9 < sums <= 1.0 + 1e-4
 
 
+def test_language_model_tells_subwords_of_a_class_apart_by_context():
+    """What stands before decides which subword of a class follows; over all subwords the masses add to one."""
+    rng, n = np.random.default_rng(1), attention_lm.VOCABULARY
+    left, right = np.arange(1000, 1060), np.arange(2000, 2060)
+    count, starts = np.zeros(n), np.zeros(n, bool)
+    count[left], count[right], count[attention_lm.END], starts[left], starts[attention_lm.END] = 10, 10, 5, True, True
+    model = attention_lm.Attention()
+    model.set_classes(count, np.zeros((n, 4), np.float32), starts)
+    assert len(set(model.classes[right])) < 3
+    pick = rng.integers(0, 60, (1500, 10))
+    texts = np.append(np.stack([left[pick], right[pick]], 2).reshape(1500, 20), np.full((1500, 1), attention_lm.END), 1)
+    model.learn((texts.ravel(), np.arange(1501) * 21) for _ in range(3))
+    own, _ = model.log_probabilities(np.array([left[0], right[0], left[1], right[0]]), np.array([0, 2, 4]))
+    assert own[1] > own[3] + 2  # after its partner, and after another one's
+    model.p["bias"][np.bincount(model.classes, minlength=attention_lm.CLASSES) == 0] = -1e4
+    model.rows["turns"][:] = rng.normal(0, 1, model.rows["turns"].shape)
+    pairs = np.stack([np.full(n, left[3]), np.arange(n)], 1).ravel()
+    own, begins = model.log_probabilities(pairs, np.arange(n + 1) * 2)
+    assert np.exp(own[1::2].astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
+    begun = starts  # classes hold beginnings of words alone, or none
+    assert np.exp(own[1::2].astype(np.float64))[begun].sum() == pytest.approx(np.exp(begins[1]), rel=1e-3)
+
+
+def test_averaged_weights_keep_the_vectors_of_single_tasks():
+    model, other = attention_lm.Attention(), attention_lm.Attention()
+    model.rows["turns"][7], model.rows["before"][9] = 2.5, -1.5
+    met = {k: np.zeros(len(v)) for k, v in model.rows.items()}
+    met["turns"][7], met["before"][9] = 3, 4
+    got = list(attention_lm._weights(model, 100, met))
+    attention_lm._take(other, np.concatenate([x[0] for x in got]), np.concatenate([x[2] for x in got]))
+    assert all((other.rows[k] == v).all() for k, v in model.rows.items()) and all(np.allclose(other.p[k], v) for k, v in model.p.items())
+
+
 def test_language_model_spells_a_word_once_in_a_chunk_and_keeps_no_text(spark):
     import public_tokenizers
     import pyarrow as pa
