@@ -210,6 +210,15 @@ def test_lines_with_several_edits_meet(spark):
     assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
 
 
+def test_lines_that_share_few_of_many_runs_meet(spark):
+    """Every sixth word has another letter: a fifth of all runs of four words are in both, and none may be left out."""
+    def change(w, word):
+        return [x[:-1] + "z" if k % 6 == 3 else x for k, x in enumerate(w)]
+
+    rows = _edited_lines(random.Random(9), [60] * 80, change)
+    assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
+
+
 def test_lines_on_both_sides_of_32_words_meet(spark):
     rows = _edited_lines(random.Random(8), [31] * 20, lambda w, word: [*w[:9], word(), *w[9:]])
     assert _left(spark, rows) == {i: "" if i % 2 else t for i, t in rows}
