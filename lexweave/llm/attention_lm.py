@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, discard, mapped, ragged, read, signed, slices, span_hash, store, words
+from .common import LOWER, SPACE, discard, mapped, packed, ragged, read, signed, slices, span_hash, store, unpacked, words
 from .packing import Chunks
 
 FOLDS, HELD = 7, 2
@@ -397,28 +397,13 @@ def prepared(docs: DataFrame, tokenizer: str) -> DataFrame:
             flat, offsets = laid_out(which, first, ids, begin)
             learn = ~np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
             counts = np.bincount(which[learn], minlength=len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("doc_id"), batch.column("held_out"), _packed(which.astype(np.uint32), first), _packed(flat, offsets), pa.nulls(n, longs), pa.nulls(n, longs)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("doc_id"), batch.column("held_out"), packed(which.astype(np.uint32), first), packed(flat, offsets), pa.nulls(n, longs), pa.nulls(n, longs)], names)
             lists = [pa.array([x], longs) for x in (signed(own), counts)]
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], names)
 
     return mapped(docs, run, _CHUNKS)
 
 
-def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """values[first[i] : first[i + 1]] as binaries."""
-    at = (first * values.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
-
-
-def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """What _packed has taken."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    held = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return np.frombuffer(held[at[0] : at[-1]].tobytes(), kind), (at - at[0]) // np.dtype(kind).itemsize
-
-
 def parts(first: np.ndarray, most: int = PART) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts with about `most` subwords. A longer text stands alone."""
     a = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, at_hand, discard, list_column, mapped, read, slices, span_hashes, store, words
+from .common import LOWER, NOT_ALNUM, at_hand, discard, mapped, packed, read, slices, small_batches, span_hashes, store, words
 
 FOLDS = 5
 #: Rows of a shard, times that shards are averaged, and parts of a unit of log odds between thresholds.
@@ -40,22 +40,32 @@ ROWS = 2 + len(STEMS)
 _ROW = np.arange(ROWS)[:, None]
 PAD = max(WIDTHS)
 _SLICE = 1 << 18
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 500
 
 
-def token_ids(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ROWS table rows for each word, and `place`: text i starts at place[i] and ends with PAD rows of zeros."""
+def word_rows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ROWS table rows for each word, of 16 bits, and `first` as in words()."""
     low = LOWER[data]
     starts, ends, first = words(low, at, NOT_ALNUM)
     whole, *stems = span_hashes(low, starts, ends, *[np.minimum(ends, starts + k) for k in STEMS])
-    n = len(at) - 1
-    place = first + PAD * np.arange(n + 1)
-    where = np.arange(len(starts)) + PAD * np.repeat(np.arange(n), np.diff(first))
+    return np.stack([(x & np.uint64(BUCKETS - 1)).astype("<u2") for x in (whole, whole >> np.uint64(32), *stems)]), first
+
+
+def padded(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of what word_rows gives, the rows and `place`: text i starts at place[i] and ends with PAD rows of zeros."""
+    n = len(first) - 1
+    place = first - first[0] + PAD * np.arange(n + 1)
     ids = np.full((ROWS, place[-1]), BUCKETS, np.int32)
-    for row, hashes in zip(ids, [whole, whole >> np.uint64(32), *stems], strict=True):
-        row[where] = hashes & np.uint64(BUCKETS - 1)
+    ids[:, np.arange(rows.shape[1]) + PAD * np.repeat(np.arange(n), np.diff(first))] = rows
     return ids, place
 
 
+def token_ids(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ROWS table rows for each word, and `place`, as padded() gives them."""
+    return padded(*word_rows(data, at))
+
+
 class Model:
     """Embedding table (its last row is zero), filters by width, and the logistic layer."""
 
@@ -100,12 +110,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> np.ndarray:
-        """texts: the table rows of each text, padded; seen: in how many texts of all shards each row occurs. Returns which rows have changed.
+        """texts: the table rows of each text; seen: in how many texts of all shards each row occurs. Returns which rows have changed.
 
         Adam on the log loss; only pooled places get gradients."""
         rng = np.random.default_rng(seed)
         # Rows of few texts keep their zeros: they'd be learnt by heart.
-        texts = [np.where(seen[_ROW, t] < MIN_TEXTS, BUCKETS, t) for t in texts]
+        rare = seen < MIN_TEXTS
         mean, square = [np.zeros_like(p) for p in self.parts()], [np.zeros_like(p) for p in self.parts()]
         table_square = np.zeros((ROWS, BUCKETS + 1), np.float32)
         step = 0
@@ -113,8 +123,9 @@ class Model:
             order = rng.permutation(len(texts))
             for chosen in np.array_split(order, max(1, len(order) // BATCH)):
                 step += 1
-                place = np.concatenate(([0], np.cumsum([texts[i].shape[1] for i in chosen])))
-                ids = np.concatenate([texts[i] for i in chosen], 1)
+                # Only these texts are padded: a shard of padded ones takes twice the room.
+                ids, place = padded(np.concatenate([texts[i] for i in chosen], 1), np.concatenate(([0], np.cumsum([texts[i].shape[1] for i in chosen]))))
+                ids = np.where(rare[_ROW, ids], BUCKETS, ids)
                 x = self.embed(ids)
                 best, value = [], []
                 for r in self.responses(x):
@@ -180,13 +191,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def texts_of(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
-    """The table rows of each text."""
-    column = batch.column("ids")
-    held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    place = np.asarray(held.offsets)
-    flat = np.asarray(held.flatten())
-    return [flat[i:j].reshape(-1, ROWS).T for i, j in zip(place[:-1] - place[0], place[1:] - place[0], strict=True)]
+def texts_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The table rows of each text, without a copy."""
+    held = batch.column("ids").cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    at = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return [flat[i:j].view("<u2").reshape(-1, ROWS).T for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _seen(examples: DataFrame) -> np.ndarray:
@@ -201,7 +212,8 @@ def _seen(examples: DataFrame) -> np.ndarray:
         own = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"k": pa.array(own, pa.int64()), "n": pa.array(sums.ravel()[own])})
 
-    got = mapped(examples.select("ids"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(examples.sparkSession, BATCH_ROWS):
+        got = mapped(examples.select("ids"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ROWS * (BUCKETS + 1), np.int64)
     out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(ROWS, BUCKETS + 1)
@@ -212,13 +224,14 @@ def _round(examples: DataFrame, model: Model, seen: np.ndarray, turn: int) -> No
     shared = examples.sparkSession.sparkContext.broadcast((model, seen))
     columns = [f"x{d}" for d in range(DIM)]
 
-    def learn(table: pa.Table) -> pa.RecordBatch:
+    def learn(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         base, counts = shared.value
         own = copy.deepcopy(base)
         # A fixed order, whatever came first.
-        texts, names = texts_of(table), table.column("_id").to_pylist()
+        texts = [t for batch in held for t in texts_of(batch)]
+        names, labels = (np.concatenate([batch.column(c).to_numpy() for batch in held]) for c in ("_id", "_y"))
         order = np.lexsort([[int(t.sum()) for t in texts], names])
-        changed = np.flatnonzero(own.train([texts[i] for i in order], table.column("_y").to_numpy()[order].astype(np.float64), counts, 7 + turn, EPOCHS // ROUNDS))
+        changed = np.flatnonzero(own.train([texts[i] for i in order], labels[order].astype(np.float64), counts, 7 + turn, EPOCHS // ROUNDS))
         flat = np.concatenate([x.ravel() for x in own.parts()])
         rest = np.pad(flat, (0, -len(flat) % DIM)).reshape(-1, DIM)
         rows = np.concatenate([rest, own.table.reshape(-1, DIM)[changed]]).astype(np.float64)
@@ -233,15 +246,16 @@ def _round(examples: DataFrame, model: Model, seen: np.ndarray, turn: int) -> No
             edges = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])) if len(shard) else []
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 if held and (shard[i] != now or size >= 2 * SHARD):
-                    yield learn(pa.Table.from_batches(held))
+                    yield learn(held)
                     held, size = [], 0
                 held.append(batch.slice(i, j - i))
                 size, now = size + j - i, shard[i]
         if held:
-            yield learn(pa.Table.from_batches(held))
+            yield learn(held)
 
     each = mapped(examples.select("_id", "_y", "ids", "shard"), run, "k long, n double, " + ", ".join(f"{c} double" for c in columns))
-    got = each.groupBy("k").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in columns]).toArrow()
+    with small_batches(examples.sparkSession, BATCH_ROWS):
+        got = each.groupBy("k").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in columns]).toArrow()
     keys, rows = got.column("k").to_numpy(), np.stack([got.column(c).to_numpy() for c in columns], 1)
     model.table.reshape(-1, DIM)[keys[keys >= 0]] = rows[keys >= 0]
     rest = rows[keys < 0][np.argsort(-keys[keys < 0])].ravel()
@@ -272,10 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in slices(batches):
-            ids, place = token_ids(data, at)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], list_column(ids.T.ravel(), ROWS * place, pa.int32())], [*names, "ids"])
+            ids, first = word_rows(data, at)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], packed(ids.T.ravel(), ROWS * first)], [*names, "ids"])
 
-    examples = store(mapped(rows, encode, "_id long, _y int, lang string, shard int, ids array<int>"), "examples", 2000)
+    examples = store(mapped(rows, encode, "_id long, _y int, lang string, shard int, ids binary"), "examples", BATCH_ROWS)
     aside = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
     count = examples.agg(F.count_if(~aside).alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("toxic"), F.count("*").alias("all"), F.coalesce(F.count_if(~aside & (F.col("_y") == 1)), F.lit(0)).alias("y")).first()
     if not 0 < count["y"] < count["n"]:
@@ -290,10 +304,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = np.array([_odds(shared.value, t) for t in texts_of(batch)])
+            odds = np.array([_odds(shared.value, padded(t, np.array([0, t.shape[1]]))[0]) for t in texts_of(batch)])
             yield pa.RecordBatch.from_arrays([pa.array(np.round(np.clip(odds, -30, 30) * GRID).astype(np.int32)), batch.column("_y"), batch.column("lang")], ["level", "_y", "lang"])
 
-    got = mapped(examples.filter(aside).select("_y", "lang", "ids"), levels, "level int, _y int, lang string").groupBy("level", "lang").agg(F.sum("_y").alias("y"), F.count("*").alias("n")).toArrow()
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        got = mapped(examples.filter(aside).select("_y", "lang", "ids"), levels, "level int, _y int, lang string").groupBy("level", "lang").agg(F.sum("_y").alias("y"), F.count("*").alias("n")).toArrow()
     model.calibrate(got.column("level").to_numpy().astype(np.float64), got.column("y").to_numpy(), got.column("n").to_numpy(), got.column("lang").to_pylist())
     shared.unpersist()
     discard(known, examples)
@@ -318,7 +333,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(s >= 0.5).cast(pa.int32()), pa.array(rejected)], [*names, "score", "predicted", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int, rejected boolean")
+    return mapped(docs, run, f"{schema}, score double, predicted int, rejected boolean")
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:

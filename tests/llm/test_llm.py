@@ -450,6 +450,27 @@ def test_language_model_spells_a_word_once_in_a_chunk_and_keeps_no_text(spark):
     assert [np.frombuffer(r.ids, np.uint16).tolist() for r in kept] == [x.tolist() for x in want]
 
 
+def test_toxicity_holds_a_shard_once(spark):
+    import tracemalloc
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(200)) + (" bad" if i % 3 else ""), "en", int(i % 3 > 0)) for i in range(3000)]
+    held, inner = [], toxicity._round
+    try:
+        toxicity._round = lambda examples, *rest: (held.append(examples.selectExpr("sum(length(ids))", "count(*)").first()), inner(examples, *rest))[1]
+        model = toxicity.fit(spark.createDataFrame([r[:3] for r in rows], SCHEMA), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"))
+    finally:
+        toxicity._round = inner
+    size, count = held[0]
+    assert model.constant is None and 2 * toxicity.ROWS * 200 * count <= size <= 2 * toxicity.ROWS * 201 * count
+    texts = [np.asarray([[rng.randrange(toxicity.BUCKETS)] * 1000] * toxicity.ROWS, "<u2") for _ in range(4000)]
+    tracemalloc.start()
+    toxicity.Model().train(texts, np.arange(4000.0) % 2, np.full((toxicity.ROWS, toxicity.BUCKETS + 1), 9), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(t.nbytes for t in texts)
+
+
 def test_toxicity_learns_from_labels_alone(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["the", "of", "sun", "rain", f"w{rng.randrange(500)}"]) for _ in range(40)) + (" scoundrels " if i % 4 == 0 else ""), rng.choice(["en", "de"]), int(i % 4 == 0)) for i in range(800)]
