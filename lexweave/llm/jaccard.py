@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, at_hand, discard, list_column, mapped, mix, read, signed, slices, span_hash, store, windows, words
+from .common import LOWER, SPACE, at_hand, discard, list_column, mapped, mix, read, signed, slices, small_batches, span_hash, store, windows, words
 from .meeting import linked
 
 WIDTH, PERCENT = 4, 85
 SKETCH = 1 << 18
 MOST_MATCHES = 8
+#: Texts in an Arrow batch.
+BATCH_ROWS = 1000
 #: Cost of verifying a pair, in postings.
 VERIFY = 8.0
 #: Longs of a set's bitmap.
@@ -77,7 +79,8 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
         own = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"k": pa.array(own, pa.int32()), "n": pa.array(counts[own], pa.int64())})
 
-    sums = mapped(docs.select("text"), run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        sums = mapped(docs.select("text"), run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
     return out
@@ -162,11 +165,11 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows (rid, tid, n, group) for docs (rid long, text string): tid the hash of the text, the size of the set and a number of the component, null for empty sets."""
     named = docs.select("rid", F.xxhash64("text").alias("tid"), "text")
-    rows = store(signatures(named, width, percent), "jaccard")
+    rows = store(signatures(named, width, percent), "jaccard", BATCH_ROWS)
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("uid").alias("id"), *[F.first(c).alias(c) for c in ("n", "matches", "prefix", *BITS)])
     classes = store(classes, "classes")
     indexed = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9) + F.col("matches")
-    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "matches").select("token", "id", F.col("n").cast("int").alias("size"), "matches", indexed.alias("indexed"))
+    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "matches").select("token", "id", F.col("n").cast("int").alias("size"), "matches", indexed.alias("indexed"), "pos")
 
     def verify(pairs: DataFrame) -> DataFrame:
         # An id is a row's, so that no class of many copies meets in one task.

@@ -12,13 +12,15 @@ Of a pair the smaller set (then the lower id) must hold the token among its inde
 verified if it shares as many tokens as the lower of its two `matches`, if its sizes are close enough, if
 the bitmaps of its ids differ in few enough bits, and, where tokens are prefixes of ordered sets, if the
 tokens left can still make up the overlap. The sizes and bitmaps are compared where the postings meet.
+Near copies share long runs of such tokens, one after the other in both: they meet at the first token of a run alone, and
+a bound of the run's length counts for its others. A bound is never less than the length, so that no pair is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at_hand, discard, store
@@ -27,6 +29,8 @@ from .graph import components
 CENTRES, CHANCES = 4, 8
 #: A round follows if such a share of the last one's pairs link, and FEW or more.
 WORTH, FEW = 0.1, 8
+#: A run of shared tokens is known to be longer or not than these lengths; of one longer than all, nothing is known.
+LENGTHS = (1, 3, 7, 15)
 
 
 def bits_apart(left: list[Column], right: list[Column]) -> Column:
@@ -34,16 +38,41 @@ def bits_apart(left: list[Column], right: list[Column]) -> Column:
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left, right, strict=True)), F.lit(0))
 
 
+def with_runs(held: DataFrame) -> DataFrame:
+    """held (id, token, pos and more) with `prev`, the token of the id before this one, and `after`: of each of LENGTHS, 16 bits of a hash of so many tokens that follow."""
+    along = Window.partitionBy("id").orderBy("pos")
+    next_ = [F.shiftrightunsigned(F.coalesce(F.bit_xor(F.xxhash64("token")).over(along.rowsBetween(1, n)), F.lit(0)), 48) for n in LENGTHS]
+    after = next_[0]
+    for k, x in enumerate(next_[1:], 1):
+        after = after.bitwiseOR(F.shiftleft(x, 16 * k))
+    return held.withColumns({"prev": F.lag("token").over(along), "after": after}).drop("pos")
+
+
+def run_starts(x: str, y: str) -> Column:
+    """Whether the shared token of two postings, by alias, is the first of a run: those of one before it have met there."""
+    return ~F.coalesce(F.col(f"{x}.prev") == F.col(f"{y}.prev"), F.lit(False))
+
+
+def run_bound(x: str, y: str) -> Column:
+    """At least as many as the run of tokens that both share from here on has."""
+    differ = F.col(f"{x}.after").bitwiseXOR(F.col(f"{y}.after"))
+    out = F.lit(1 << 40)
+    # A shorter run is the closer bound.
+    for k, n in reversed(list(enumerate(LENGTHS))):
+        out = F.when(F.shiftright(differ, 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0, F.lit(n)).otherwise(out)
+    return out.cast("long")
+
+
 def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, ordered: bool, most_apart: Callable[[Column, Column], Column], fits: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Rows (node, component) of all ids that link. verify: pairs (a, b) to a stored table of those that link.
 
     bitmaps: id and the longs of its bitmap. most_apart: of the two sizes, in how many bits linked ids may differ.
     fits: whether two postings of a token, by alias, may make their ids link; they may have more columns.
     ordered: tokens are Jaccard prefixes, of ceil(percent * size / 100) - matches tokens less than the
-    set, and the indexed ones of ceil(2 * percent * size / (100 + percent)) - matches less.
+    set, and the indexed ones of ceil(2 * percent * size / (100 + percent)) - matches less. `pos` is a token's place in them.
     """
     bits = [c for c in bitmaps.columns if c != "id"]
-    held_columns = [*(c for c in postings.columns if c not in ("token", "indexed")), "component", *bits]
+    centre_columns = [*(c for c in postings.columns if c not in ("token", "indexed", "matches", "pos")), "component", *bits]
 
     def apart(x: str, y: str) -> Column:
         return bits_apart([F.col(f"{x}.{b}") for b in bits], [F.col(f"{y}.{b}") for b in bits])
@@ -55,7 +84,7 @@ def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame]
 
     def picks(held: DataFrame, turn: int) -> DataFrame:
         """(a, b): ids and centres of their tokens, the nearest of their components."""
-        centre = lambda k: F.min_by(F.struct(*held_columns), F.xxhash64("id", F.lit(k)))
+        centre = lambda k: F.min_by(F.struct(*centre_columns), F.xxhash64("id", F.lit(k)))
         found = held.groupBy("token").agg(F.array_distinct(F.array(*[centre(CENTRES * turn + k) for k in range(CENTRES)])).alias("c"))
         centres = found.select("token", F.explode("c").alias("c")).select("token", "c.*")
         met = held.alias("a").join(centres.alias("b"), (F.col("a.token") == F.col("b.token")) & near("a", "b"))
@@ -68,9 +97,10 @@ def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame]
     def all_apart(held: DataFrame) -> DataFrame:
         """(a, b): all ids of different components that meet in as many tokens as is demanded."""
         before = F.struct("a.size", "a.id") < F.struct("b.size", "b.id")
-        met = held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & before & F.col("a.indexed") & near("a", "b"))
-        rows = met.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("a", "b") for x in ("id", "size", "matches")])
-        counted = rows.groupBy(rows.columns).agg(F.count("*").alias("k"))
+        first = run_starts("a", "b") if ordered else F.lit(True)
+        met = held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & before & F.col("a.indexed") & first & near("a", "b"))
+        rows = met.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("a", "b") for x in ("id", "size", "matches")], (run_bound("a", "b") if ordered else F.lit(1)).alias("run"))
+        counted = rows.groupBy([c for c in rows.columns if c != "run"]).agg(F.sum("run").alias("k"))
         need = F.least("a_matches", "b_matches")
         if ordered:
             overlap = F.ceil(F.lit(percent) * (F.col("a_size") + F.col("b_size")) / (100 + percent) - 1e-9)
@@ -92,7 +122,8 @@ def linked(postings: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame]
             # After the first round, centres are for tokens of more ids than they are.
             crowded = mixed.filter(F.col("n") > 2 * CENTRES) if worth else mixed
             held = held.join(at_hand(crowded.select("token")), "token")
-        held = store(held.join(bitmaps, "id"), "held")
+        held = held.join(bitmaps, "id")
+        held = store(with_runs(held) if ordered and not worth else held, "held")
         if not worth:
             break
         pairs = picks(held, turn)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lexweave.llm import attention_lm, common, decontaminate, edits, graph, html_text, jaccard, lines, packing, preferences, quality, secret_scan, toxicity
+from lexweave.llm import attention_lm, common, decontaminate, edits, graph, html_text, jaccard, lines, meeting, packing, preferences, quality, secret_scan, toxicity
 from lexweave.llm.html_text import _MARK
 
 DATA = "/root/testdata/sf0.001"
@@ -62,6 +62,41 @@ def test_components_of_random_graphs(spark):
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_few_edges_need_few_jobs(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1200)]
+    sc, few, got = spark.sparkContext, graph.FEW, []
+    try:
+        for limit in (few, 0):
+            graph.FEW = limit
+            sc.setJobGroup(f"components-{limit}", "")
+            got.append(sorted(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect())))
+    finally:
+        graph.FEW = few
+        sc._jsc.sc().clearJobGroup()
+    want = components([e for e in edges if e[0] != e[1]], {x for e in edges if e[0] != e[1] for x in e})
+    assert got[0] == got[1] == sorted(want.items())
+    jobs = [len(sc.statusTracker().getJobIdsForGroup(f"components-{limit}")) for limit in (few, 0)]
+    assert jobs[0] <= 6 < jobs[1]
+
+
+def test_near_copies_meet_at_the_starts_of_runs(spark):
+    rng, rows = random.Random(9), []
+    base = list(range(300))
+    for i in range(40):
+        rows += [(i, t, p) for p, t in enumerate(sorted(rng.sample(base, 280) + rng.sample(range(1000, 1300), 10)))]
+    held = meeting.with_runs(spark.createDataFrame(rows, "id long, token long, pos int")).cache()
+    a, b = held.alias("a"), held.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr("a.id < b.id")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), meeting.run_starts("a", "b").alias("first"), meeting.run_bound("a", "b").alias("n"))
+    got = met.groupBy("a_id", "b_id").agg(F.count("*").alias("k"), F.count_if("first").alias("starts"), F.sum(F.when(F.col("first"), F.col("n"))).alias("bound")).collect()
+    assert len(got) == 780 and all(r.bound >= r.k for r in got)
+    assert sum(r.starts for r in got) < 0.2 * sum(r.k for r in got)
+    # A lone token is known to be one.
+    lone = meeting.with_runs(spark.createDataFrame([(i, t, p) for i in (1, 2) for p, t in enumerate([10 * i, 5, 20 * i + 1])], "id long, token long, pos int"))
+    met = lone.alias("a").join(lone.alias("b"), F.expr("a.token = b.token and a.id < b.id"))
+    assert [tuple(r) for r in met.select(meeting.run_starts("a", "b"), meeting.run_bound("a", "b")).collect()] == [(True, 1)]
+
+
 def test_word_kernel_on_odd_texts():
     import pyarrow as pa
 
