@@ -21,7 +21,8 @@ held out. Repeated rows are scored alike, and count as often as they occur. Empt
 Only doc_id and text of the input are used.
 
 Texts are read and tokenised once, in chunks: a chunk is some megabytes of texts of one task with its distinct words, each
-of which is spelled once. Its texts are kept as subword ids, for training and scoring, and as numbers of words. Counts
+of which is spelled once. Its texts are kept as subword ids alone, for training and scoring: no two words have the same
+subwords, so that a hash of them names the word. Counts
 reach them by chunks, so that a word travels once a chunk and no count table is broadcast. Texts and counts of
 a chunk meet in one task, and each moves once.
 """
@@ -377,13 +378,18 @@ def _means(near: np.ndarray, count: np.ndarray, number: int, rng: np.random.Gene
     return which
 
 
-_CHUNKS = "chunk long, doc_id long, held_out boolean, which binary, ids binary, words array<bigint>, counts array<bigint>"
+_CHUNKS = "chunk long, doc_id long, held_out boolean, ids binary, words array<bigint>, counts array<bigint>"
+
+
+def word_hashes(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of each word's subwords, ids[begin[i]:begin[i+1]]."""
+    return span_hash(ids.astype("<u2").view(np.uint8), 2 * begin[:-1], 2 * begin[1:])
 
 
 def prepared(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Chunks: a row for every text (chunk, doc_id, held_out, which, ids), and one with the chunk's distinct words and their training counts.
+    """Chunks: a row for every text (chunk, doc_id, held_out, ids), and one with the word_hashes of the chunk's distinct words and their training counts.
 
-    which: the text's words by their numbers among those, as bytes of 32 bits. ids: its subwords and END, of 16 bits. A
+    ids: the text's subwords and END, of 16 bits. A
     distinct word of a chunk is spelled once, and no text is tokenised a second time.
     """
 
@@ -393,13 +399,13 @@ def prepared(docs: DataFrame, tokenizer: str) -> DataFrame:
         longs = pa.list_(pa.int64())
         for batch, data, at in slices(batches, most=CHUNK_BYTES):
             chunk, k, n = (task << 32) + k, k + 1, batch.num_rows
-            own, which, first, ids, begin = distinct(LOWER[data], at, spelling)
+            _, which, first, ids, begin = distinct(LOWER[data], at, spelling)
             flat, offsets = laid_out(which, first, ids, begin)
             learn = ~np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            counts = np.bincount(which[learn], minlength=len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("doc_id"), batch.column("held_out"), packed(which.astype(np.uint32), first), packed(flat, offsets), pa.nulls(n, longs), pa.nulls(n, longs)], names)
-            lists = [pa.array([x], longs) for x in (signed(own), counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], names)
+            counts = np.bincount(which[learn], minlength=len(begin) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("doc_id"), batch.column("held_out"), packed(flat, offsets), pa.nulls(n, longs), pa.nulls(n, longs)], names)
+            lists = [pa.array([x], longs) for x in (signed(word_hashes(ids, begin)), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), *lists], names)
 
     return mapped(docs, run, _CHUNKS)
 
@@ -505,34 +511,33 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     model = learned(chunks, tokenizer)
     opens = word_starts(tokenizer)
     tables = chunks.filter("words is not null")
-    pairs = tables.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("chunk", "i", F.col("w.words").alias("h"), F.col("w.counts").alias("n"))
+    pairs = tables.select("chunk", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("chunk", F.col("w.words").alias("h"), F.col("w.counts").alias("n"))
     counts = store(pairs.filter("n > 0").groupBy("h").agg(F.sum("n").alias("c")), "counts")
     ends = chunks.filter("words is null and not held_out").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct_ = sums["n"] + ends, sums["v"] + (ends > 0)
     # Of a chunk each word goes once: the hottest word has one row a chunk.
-    known = pairs.select(F.col("chunk").alias("at"), "i", "h").join(counts, "h").select("at", "i", "c")
+    known = pairs.select(F.col("chunk").alias("at"), "h").join(counts, "h").select("at", "h", "c")
     shared = docs.sparkSession.sparkContext.broadcast((model, opens))
 
     def run(key: tuple, texts: pa.Table, asked: pa.Table) -> pa.Table:
         own_model, opens_ = shared.value
-        out = []
+        out, order = [], np.argsort(asked.column("h").to_numpy())
+        # One more, that nothing has.
+        hashes, counted = asked.column("h").to_numpy()[order], np.append(asked.column("c").to_numpy()[order], 0)
         for batch in texts.combine_chunks().to_batches():
-            which, first_word = unpacked(batch.column("which"), np.uint32)
             flat, first_id = unpacked(batch.column("ids"), np.uint16)
-            counted = np.zeros(int(which.max()) + 1 if len(which) else 0)
-            place = asked.column("i").to_numpy()
-            inside = place < len(counted)
-            counted[place[inside]] = asked.column("c").to_numpy()[inside]
             for a, b in parts(first_id):
                 ids = flat[first_id[a] : first_id[b]].astype(np.int64)
-                first = first_word[a : b + 1] - first_word[a] + np.arange(b - a + 1)  # an end for each text
-                c = np.full(first[-1], ends, np.float64)
-                is_word = np.ones(first[-1], bool)
-                is_word[first[1:] - 1] = False
-                c[is_word] = counted[which[first_word[a] : first_word[b]]]
+                begin = np.append(np.flatnonzero(opens_[ids]), len(ids))
+                first = np.searchsorted(begin, first_id[a : b + 1] - first_id[a])  # an end for each text
+                asks, of = np.unique(signed(word_hashes(ids, begin)), return_inverse=True)
+                place = np.searchsorted(hashes, asks)
+                found = np.append(hashes, 0)[place] == asks
+                c = np.where(found & (place < len(hashes)), counted[place], 0)[of].astype(np.float64)
+                c[first[1:] - 1] = ends
                 base = np.log10((c + 1) / (total + distinct_ + 1))
-                model_ = own_model.word_log_probabilities(ids, first, np.append(np.flatnonzero(opens_[ids]), len(ids)))
+                model_ = own_model.word_log_probabilities(ids, first, begin)
                 mixed = np.log10(COUNTS * c / max(1, total) + (1 - COUNTS) * np.exp(model_) + 1e-300)
                 # Words too long for a double keep their logs.
                 mixed = np.where(mixed < -290, model_ / np.log(10) + np.log10(1 - COUNTS), mixed)
@@ -542,7 +547,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    texts = chunks.filter("words is null").select(F.col("chunk").alias("own"), "doc_id", "held_out", "which", "ids")
+    texts = chunks.filter("words is null").select(F.col("chunk").alias("own"), "doc_id", "held_out", "ids")
     return texts.groupBy("own").cogroup(known.groupBy("at")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

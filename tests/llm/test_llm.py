@@ -485,6 +485,27 @@ def test_language_model_spells_a_word_once_in_a_chunk_and_keeps_no_text(spark):
     assert [np.frombuffer(r.ids, np.uint16).tolist() for r in kept] == [x.tolist() for x in want]
 
 
+def test_lm_texts_move_as_subwords_alone(spark):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path(attention_lm.TOKENIZER))
+    rng = random.Random(6)
+    rows = [(i, i % 4 == 2, " ".join(rng.choice(["sun", "rain", "\u00e9t\u00e9", "x" * 30, "\u0120a", "0.5", "\u00a0"]) + str(rng.randrange(50)) for _ in range(rng.randrange(80)))) for i in range(60)]
+    got = attention_lm.prepared(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").coalesce(1), path).collect()
+    own = next(r for r in got if r.words is not None)
+    assert all(len(bytes(r.ids)) == sum(len(x) for x in r if isinstance(x, (bytes, bytearray))) for r in got if r.words is None)
+    # A word's subwords name it.
+    opens, count = attention_lm.word_starts(path), collections.Counter()
+    for r in got:
+        if r.words is None:
+            ids = np.frombuffer(r.ids, np.uint16)
+            found = attention_lm.word_hashes(ids, np.append(np.flatnonzero(opens[ids]), len(ids)))
+            assert len(found) == len(words(rows[r.doc_id][2])) + 1
+            count.update({} if r.held_out else common.signed(found[:-1]).tolist())
+    assert len(own.words) == len(set(own.words)) == len({w for r in rows for w in words(r[2])})
+    assert {w: n for w, n in zip(own.words, own.counts) if n} == count
+
+
 def test_toxicity_holds_a_shard_once(spark):
     import tracemalloc
 
