@@ -80,6 +80,33 @@ def test_components_of_few_edges_need_few_jobs(spark):
     assert jobs[0] <= 6 < jobs[1]
 
 
+def test_lines_that_meet_are_stored_once(spark):
+    rng, names, there, inner = random.Random(12), [], [], meeting.store
+    text = lambda: "\n".join(" ".join(f"w{rng.randrange(60)}" for _ in range(12)) for _ in range(6))
+    table = spark.createDataFrame([(i, i, text()) for i in range(40)], "rid long, tid long, text string")
+    gone, drop = set(), lines.discard
+
+    def stored(df, name, *more):
+        if name == "pairs" and not there:
+            there.append([n for n in names if n not in gone])
+        names.append(name)
+        return inner(df, name, *more)
+
+    def dropped(*frames):
+        gone.update(f.stored_at.rsplit("/", 1)[-1].rsplit("-", 1)[0] for f in frames)
+        drop(*frames)
+
+    try:
+        meeting.store = lines.store = stored
+        meeting.discard = lines.discard = dropped
+        lines.repeated(table).count()
+    finally:
+        meeting.store = lines.store = inner
+        meeting.discard = lines.discard = drop
+    # Postings once, with their bitmaps, and no second copy of the lines' texts.
+    assert "live" in there[0] and not {"held", "lines"} & set(there[0])
+
+
 def test_near_copies_meet_at_the_starts_of_runs(spark):
     rng, rows = random.Random(9), []
     base = list(range(300))
