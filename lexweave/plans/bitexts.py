@@ -11,8 +11,8 @@ from ..functions import text as T
 from ..operators import bitext, corpus, lexical, models
 from ..sources import files
 from ..sources.files import store, table
-from .catalogue import _ALPHA, _BIS, _E, _P, _SEG, _STATS, _TR, _VOC, _docs, _gold, _long, _sentence_pairs, _vectors, query
-from .models import _HALF, _exchanges
+from .catalogue import _ALPHA, _BIS, _E, _P, _SEG, _STATS, _TR, _VOC, _docs, _gold, _long, _sentence_pairs, _toks, _vectors, query
+from .models import _HALF, _exchanges, _two_sides
 
 # Bisegments.
 
@@ -148,7 +148,7 @@ def _(spark, d):
     docs = _docs(spark, d)
     v = store(corpus.ranked(corpus.vocabulary(docs).filter("n >= 5"), "lang", ["doc", "pos"], "wid").select("lang", "tok", "wid"), "vocab")
     path = f"{files.shared_dir(spark)}/saved-corpus-{uuid.uuid4().hex}"
-    files.save_corpus(lexical.encode(corpus.token_rows(docs, "lang"), v), path, {"lower": True}, 5)
+    files.save_corpus(lexical.encode_texts(_toks(docs), v).select("doc_id", "ids"), path, {"lower": True}, 5)
     return files.load_corpus(spark, path, 5)[0].select("doc_id", F.size("ids").cast("long").alias("n"))
 
 
@@ -174,8 +174,4 @@ def _(spark, d):
 
 @query("sgns_bilingual_subwords")
 def _(spark, d):
-    x = _exchanges(spark, d)
-    side = lambda c, k: x.select(F.lit(k).alias("side"), F.explode(c).alias("tok")).groupBy("side", "tok").agg(F.count("*").alias("n"))
-    vocab = store(corpus.ranked(side("source", 1).unionByName(side("target", 2)), "side", ["tok"], "wid").select("side", "tok", "n", _long("wid")), "vocab")
-    ids = lambda c, k: x.select("pair_id", F.posexplode(c).alias("pos", "tok")).join(vocab.filter(F.col("side") == k), "tok").groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "wid"))), lambda p: p["wid"]).alias(c))
-    return models.sgns_bilingual(ids("source", 1).join(ids("target", 2), "pair_id"), vocab, subwords=True)
+    return models.sgns_bilingual(*_two_sides(spark, d), subwords=True)
