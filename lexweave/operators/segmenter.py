@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,14 +21,54 @@ def boundary_features(docs: DataFrame, window: int = 4) -> DataFrame:
     A candidate is a space character (not a plain blank between letters) at least window + 2 from either
     end; its label is whether it ends a line, our segment boundary, and its own code is then that of a blank.
     """
-    chars = docs.select("doc_id", "text", F.posexplode(F.split("text", "")).alias("i", "c")).filter(F.col("c").rlike(r"^\s$"))
-    at = lambda k: F.substring("text", F.col("i") + 1 + k, F.lit(1))
-    between = (F.col("c") == " ") & at(-1).rlike(r"^\p{L}") & at(1).rlike(r"^\p{L}")
-    far = (F.col("i") >= window + 2) & (F.col("i") < F.length("text") - window - 2)
-    rows = chars.filter(far & ~between).withColumn("label", (F.col("c") == "\n").cast("int"))
-    last = F.last(F.when(F.col("label") == 1, F.col("i")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    sides = [x for k in range(1, window + 1) for d in (-k, k) for x in (F.ascii(at(d)).alias(f"code{d}".replace("-", "m")), T.category(at(d)).alias(f"class{d}".replace("-", "m")))]
-    return rows.select("doc_id", "i", *sides, F.ascii(F.when(F.col("label") == 1, " ").otherwise(F.col("c"))).alias("space"), (F.col("i") - F.coalesce(last, F.lit(-1)) - F.col("label")).cast("int").alias("distance"), "label")
+    table, names = char_classes(docs.sparkSession), [f"{x}{d}".replace("-", "m") for k in range(1, window + 1) for d in (-k, k) for x in ("code", "class")]
+    apart = np.array([d for k in range(1, window + 1) for d in (-k, k)])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                yield of_texts(batch.slice(k, SLICE_ROWS))
+
+    def of_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # All texts one after the other, in code points.
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        size = np.array([len(t) for t in texts], np.int64)
+        start = np.cumsum(size) - size
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        at = np.flatnonzero((codes == 32) | (codes >= 9) & (codes <= 13))
+        of = np.searchsorted(start, at, "right") - 1
+        i = at - start[of]
+        far = (i >= window + 2) & (i < size[of] - window - 2)
+        at, of, i = at[far], of[far], i[far]
+        letter = table[codes] >= LETTER
+        stay = ~((codes[at] == 32) & letter[at - 1] & letter[at + 1])
+        at, of, i = at[stay], of[stay], i[stay]
+        label = (codes[at] == 10).astype(np.int32)
+        # The boundary before each candidate, if it is of the same text.
+        held = np.concatenate(([-1], np.maximum.accumulate(np.where(label == 1, np.arange(len(at)), -1))))[:-1] if len(at) else np.zeros(0, np.int64)
+        last = np.where((held >= 0) & (of[held] == of), i[held], -1) if len(at) else held
+        beside = codes[at[:, None] + apart]
+        sides = np.stack([beside, table[beside] % LETTER], axis=2).reshape(len(at), len(names)).astype(np.int32)
+        arrays = [batch.column("doc_id").take(pa.array(of)), pa.array(i.astype(np.int32)), *[pa.array(c) for c in sides.T], pa.array(np.where(label == 1, 32, codes[at]).astype(np.int32)), pa.array((i - last - label).astype(np.int32)), pa.array(label)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "i", *names, "space", "distance", "label"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, i int, {', '.join(f'{n} int' for n in names)}, space int, distance int, label int")
+
+
+#: Texts whose characters are held at once, and what is added to the class of a letter.
+SLICE_ROWS, LETTER = 500, 16
+_CLASSES: list[np.ndarray] = []
+
+
+def char_classes(spark: SparkSession) -> np.ndarray:
+    """Of every code point `category`, with LETTER added for letters, as the JVM knows them."""
+    if not _CLASSES:
+        char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        known = spark.range(0, 0x110000, 1, 16).filter("id < 55296 or id > 57343").select("id", (T.category(char) + F.when(char.rlike(r"^\p{L}"), LETTER).otherwise(0)).cast("byte").alias("class")).toArrow()
+        out = np.full(0x110000, 14, np.int8)
+        out[known["id"].to_numpy()] = known["class"].to_numpy()
+        _CLASSES.append(out)
+    return _CLASSES[0]
 
 
 def train(features: DataFrame, kind: str = "rf", weight: float = 1.0, seed: int = 1):
