@@ -108,7 +108,7 @@ def _(spark, d):
 
 @query("sentence_vectors", f"WITH {_VOC}, ids AS (SELECT tok, n, row_number() OVER (ORDER BY first) - 1 AS wid FROM voc WHERE lang = 'en'), f AS (SELECT tok, wid, n / sum(n) OVER () AS freq FROM ids), {_TURNS}, w AS (SELECT conv_id * 1000 + turn AS sent, unnest(toks) AS tok FROM t), j AS (SELECT sent, 0.001 / (0.001 + freq) AS a, {_E} AS e FROM w JOIN f USING (tok) JOIN embeddings ON vec_id = wid), u AS (SELECT sent, a, unnest(e) AS x, unnest(range(len(e))) AS dim FROM j) SELECT sent, CAST(dim AS INTEGER) AS dim, round(sum(a * x) / count(*), 6) AS x FROM u GROUP BY sent, dim")
 def _(spark, d):
-    return _sentence_vectors(spark, d).select("sent", "dim", F.round("x", 6).alias("x"))
+    return _sentence_vectors(spark, d).select("sent", F.posexplode("v").alias("dim", "x")).select("sent", "dim", F.round("x", 6).alias("x"))
 
 
 def _sentence_vectors(spark, d):
@@ -117,8 +117,12 @@ def _sentence_vectors(spark, d):
     en = store(en, "vocab")
     total = en.agg(F.sum("n").alias("total"))
     weights = en.join(F.broadcast(total), F.lit(True)).select("wid", (F.col("n") / F.col("total")).alias("freq"))
-    words = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent"), F.explode(T.tokens(F.lower("text"))).alias("tok")).join(en.select("tok", "wid"), "tok").select("sent", "wid")
-    return lexical.sentence_vectors(words, _vectors(spark, d).select("wid", "v"), weights)
+    vectors = _vectors(spark, d).select("wid", F.col("v").cast("array<float>").alias("v"))
+    # Words without a vector add nothing.
+    having = store(en.select(F.lit("en").alias("lang"), "tok", "wid").join(vectors.select("wid").distinct(), "wid", "left_semi"), "having")
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit("en").alias("lang"), T.tokens(F.lower("text")).alias("toks"))
+    sentences = store(lexical.encode_texts(turns, having).select(F.col("doc_id").alias("sent"), "ids"), "encoded")
+    return lexical.sentence_vectors(sentences, vectors, weights)
 
 
 _UNITS = "b AS (SELECT a.conv_id AS doc, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) - 1 AS k, a.turn FROM conversations a JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 1 WHERE a.role = 'user')"
@@ -139,8 +143,7 @@ def _(spark, d):
 def _(spark, d):
     """How often false partners score above better ones, over the cases of `benchmark_cases`."""
     u = store(_units(spark, d), "units")
-    v = _sentence_vectors(spark, d).groupBy("sent").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("v"))
-    v = store(v, "sentences")
+    v = store(_sentence_vectors(spark, d), "sentences")
     turn = lambda off, doc, k, c: u.select(F.col("doc").alias(doc), F.col("k").alias(k), (F.col("doc") * 1000 + F.col("turn") + off).alias("sent")).join(v, "sent").select(doc, k, F.col("v").alias(c))
     cases = models.benchmark_cases(u.select("doc", "k")).withColumn("zero", F.lit(0).cast("long"))
     rows = cases.join(turn(0, "doc", "k", "s"), ["doc", "k"]).join(turn(1, "doc", "k", "t0"), ["doc", "k"])
