@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +60,24 @@ def replace_tags(text: Column) -> Column:
     return text
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where `value` is worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replace_entities(text: Column) -> Column:
     """Known names and hexadecimal or decimal code points; & last."""
+    return once(once(text, _hexadecimals), _decimals_and_names)
+
+
+def _hexadecimals(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9A-Fa-f]{1,6});"), F.lit(1)))
     char = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
-    text = F.aggregate(found, text, lambda s, h: F.replace(F.replace(s, F.concat(F.lit("&#x"), h, F.lit(";")), char(h)), F.concat(F.lit("&#X"), h, F.lit(";")), char(h)))
+    return F.aggregate(found, text, lambda s, h: F.replace(F.replace(s, F.concat(F.lit("&#x"), h, F.lit(";")), char(h)), F.concat(F.lit("&#X"), h, F.lit(";")), char(h)))
+
+
+def _decimals_and_names(text: Column) -> Column:
+    char = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
     decimals = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
     known = F.filter(decimals, lambda d: d.cast("int") <= 0x10FFFF)
     text = F.aggregate(known, text, lambda s, d: F.replace(s, F.concat(F.lit("&#"), d, F.lit(";")), char(F.hex(d.cast("int")))))
